@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lexicon, packing, rules, secret_scan, topk
+from . import language, lexicon, ngram_join, packing, rules, secret_scan, topk
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_language_id": language.op6_language_id,
         "op8_packing": packing.op8_packing,
         "op9_topk_nra": topk.op9_topk_nra,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_nra": topk.OP9_SQL}
+    return {"op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
