@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, lexicon, ngram_join, packing, rules, secret_scan, topk
+from . import language, lexicon, ngram_join, packing, quality, rules, secret_scan, topk
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secret_scan.op2_secret_scan,
+        "op3_quality_crf": quality.op3_quality_crf,
         "op4_fst_bpe": lexicon.op4_fst_bpe,
         "op5_quality_rules": rules.op5_quality_rules,
         "op6_language_id": language.op6_language_id,
