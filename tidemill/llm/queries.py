@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from . import language, lexicon, ngram_join, packing, quality, rules, secret_scan, topk
+from . import chat, language, lexicon, line_dedup, ngram_join, packing, quality, rules, secret_scan, topk
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_quality_crf": quality.op3_quality_crf,
         "op4_fst_bpe": lexicon.op4_fst_bpe,
         "op5_quality_rules": rules.op5_quality_rules,
         "op6_language_id": language.op6_language_id,
+        "op7_preference_chat": chat.op7_preference_chat,
         "op8_packing": packing.op8_packing,
         "op9_topk_nra": topk.op9_topk_nra,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
+    return {"op7_preference_chat": chat.OP7_SQL, "op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
