@@ -59,14 +59,16 @@ def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
-    """At most about per_class rows of each value of `by`, chosen by a hash of `key`: the same rows on every run.
+def bounded_sample(df: DataFrame, by: str, key: str, per_class: int, total: int | None = None) -> DataFrame:
+    """At most about per_class rows of each value of `by` (and `total` of all), chosen by a hash of `key`: the same rows on every run.
 
     One pass counts the classes; a class of n rows then keeps hashes below per_class / n. Nulls of `by` take no part.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
     if not counts:
         return df.limit(0)
+    if total:
+        per_class = min(per_class, max(1, total // len(counts)))
     spread = 1 << 40
     keep = F.lit(False)
     at = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(spread))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold, map_slices, table
 
 #: Documents of each language that machines are trained on: a parameter that bounds what the driver gathers.
-SAMPLE = 1000
-BUCKETS = 8192
+SAMPLE = 500
+#: And of all languages together.
+SAMPLE_ALL = 3000
+BUCKETS = 4096
 UNKNOWN = "und"
 
 # Families of common language codes. A code not listed is a family of its own.
@@ -116,7 +118,7 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
-    """Machines from at most about per_lang documents of each non-null lang. Each gives its whole text and, as short texts
+    """Machines from at most about per_lang documents of each non-null lang, and SAMPLE_ALL in all. Each gives its whole text and, as short texts
     are harder, one of its lines by itself. Without such documents every prediction is `und`."""
 
     def work(rows: dict) -> dict:
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
                     out["x"].append(x.astype(np.float16).tobytes())
         return out
 
-    chosen = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_lang)
+    chosen = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_lang, SAMPLE_ALL)
     got = sorted(map(tuple, map_slices(chosen, work, "doc_id long, lang string, x binary").collect()), key=lambda r: (r[0] if r[0] is not None else -1, r[1], bytes(r[2])))
     X = np.stack([np.frombuffer(x, np.float16) for _, _, x in got]).astype(np.float32) if got else np.zeros((0, BUCKETS), np.float32)
     return Model(X, np.array([x for _, x, _ in got], object))
