@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def text_to_iso(c: Column) -> Column:
     """d.m.y, d/m/y, d-m-y or year first to yyyy-mm-dd text; two-digit years are of this century. Not checked by a calendar."""
-    p = F.transform(F.split(c, "[./-]"), F.trim)
+    p = F.transform(F.split(c, "[./-]"), lambda x: F.trim(x))
     a, b, y = (F.get(p, F.lit(i)) for i in range(3))
     first = F.length(a) == 4
     pad = lambda x: F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)

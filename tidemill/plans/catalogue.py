@@ -326,8 +326,8 @@ CASE WHEN regexp_matches(f, '(?i)\b(EXW|FOB|FCA|FAS|CFR|CIF|CPT|CIP|DAP|DPU|DDP)
 CASE WHEN regexp_matches(f, '\b(20\d{2}-\d{2}-\d{2})\b') THEN regexp_extract(f, '\b(20\d{2}-\d{2}-\d{2})\b', 1)
  WHEN regexp_matches(f, '\b(\d{2})[./-](\d{2})[./-](\d{4})\b') THEN regexp_extract(f, '\b\d{2}[./-]\d{2}[./-](\d{4})\b', 1) || '-' || regexp_extract(f, '\b\d{2}[./-](\d{2})[./-]\d{4}\b', 1) || '-' || regexp_extract(f, '\b(\d{2})[./-]\d{2}[./-]\d{4}\b', 1) END AS invoice_date FROM f""")
 def text_fields(t):
-    f = extract_text.header_fields(F.col("text"))
-    return t("documents").select("doc_id", *(f[c].alias(c) for c in ("currency", "delivery_term", "invoice_date")))
+    f = extract_text.header_fields(F.col("flat"))
+    return t("documents").select("doc_id", text.js_trim(text.collapse(F.col("text"))).alias("flat")).select("doc_id", *(f[c].alias(c) for c in ("currency", "delivery_term", "invoice_date")))
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_replace(list_extract(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), -1), '[,;:.]+$', '') AS w FROM documents)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import text_to_iso
 from ..functions.numbers import last_separator_amount, quantity
-from ..functions.text import JS_SPACE, collapse, country_of_address, first_match, js_trim, line_after_label
+from ..functions.text import JS_SPACE, collapse, country_of_address, js_trim, line_after_label
 
 # The patterns of the fields. A word begins or ends where no ASCII word character is next to it.
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -59,62 +59,69 @@ def _cut(lines: Column, start: Column, end: Column) -> Column:
     return F.slice(lines, start.cast("int") + 1, F.greatest(F.lit(0), (end - start).cast("int")))
 
 
-def party(lines: Column) -> Column:
-    """struct(name, address, tax_no) of a party's lines: leading noise is dropped, the first line is the name, the address ends at a labelled line."""
-    clean = F.filter(F.transform(lines, js_trim), lambda x: x != "")
-    start = F.coalesce(_first(clean, lambda x: ~_like(x, NOISE)), F.size(clean))
-    rows = _cut(clean, start, F.size(clean))
-    text = F.translate(F.array_join(rows, "\n"), "  ", "  ")
-    tax = F.coalesce(*(F.when(_like(text, p), F.regexp_extract(text, p, 1)) for p in TAX_NO))
+def with_party(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Adds struct(name, address, tax_no) of a party's lines: leading noise is dropped, the first line is the name, the address ends at a labelled line.
+
+    Every array is a column of its own, so that no expression holds another one twice.
+    """
+    clean, start, rows, rest, upto, body = (F.col(f"_{out}_{n}") for n in ("clean", "start", "rows", "rest", "upto", "body"))
+    df = df.withColumn(f"_{out}_clean", F.filter(F.transform(raw, js_trim), lambda x: x != ""))
+    df = df.withColumn(f"_{out}_start", F.coalesce(_first(clean, lambda x: ~_like(x, NOISE)), F.size(clean)))
+    df = df.withColumn(f"_{out}_rows", _cut(clean, start, F.size(clean)))
+    df = df.withColumn(f"_{out}_rest", _cut(rows, F.lit(1), F.size(rows))).withColumn(f"_{out}_body", F.translate(F.array_join(rows, "\n"), "\u00a0\u2007", "  "))
+    df = df.withColumn(f"_{out}_upto", _cut(rest, F.lit(0), F.coalesce(_first(rest, lambda x: _like(x, ADDRESS_END)), F.size(rest))))
+    tax = F.coalesce(*(F.when(_like(body, p), F.regexp_extract(body, p, 1)) for p in TAX_NO))
     name = F.substring(js_trim(collapse(F.regexp_replace(F.get(rows, F.lit(0)), r"(?i)^Firma\s*Ad[ıI]\s*:\s*(?=\S)", ""))), 1, 240)
-    rest = _cut(rows, F.lit(1), F.size(rows))
-    upto = _cut(rest, F.lit(0), F.coalesce(_first(rest, lambda x: _like(x, ADDRESS_END)), F.size(rest)))
     parts = F.filter(F.transform(upto, lambda x: js_trim(F.regexp_replace(x, r"(?i)^Adres\s*:\s*", ""))), lambda x: x != "")
     address = F.substring(js_trim(F.regexp_replace(F.array_join(parts, " "), f"{JS_SPACE}{{2,}}", " ")), 1, 500)
-    some = lambda c: F.when(F.length(c) > 0, c)
-    return F.struct(some(name).alias("name"), some(address).alias("address"), tax.alias("tax_no"))
+    return df.withColumn(out, F.struct(F.nullif(name, F.lit("")).alias("name"), F.nullif(address, F.lit("")).alias("address"), tax.alias("tax_no")))
 
 
 def parties(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds seller and buyer: split at the line that begins with SAYIN; if that is the first, the seller stands after a dated line."""
-    lines = F.col("_lines")
+    keep = df.columns
+    lines, at, after, tail, late = (F.col(c) for c in ("_lines", "_at", "_after", "_tail", "_late"))
+    none = F.array().cast("array<string>")
+    ends = lambda c: _first(c, lambda x: _like(js_trim(x), BUYER_END))
     out = df.withColumn("_lines", F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n"))
     out = out.withColumn("_at", _first(lines, lambda x: _like(js_trim(x), r"(?i)^SAYIN(\s+\S.*)?$")))
-    inline = F.regexp_extract(js_trim(F.get(lines, F.col("_at"))), r"(?i)^SAYIN\s+(.+)$", 1)
-    after = _cut(lines, F.col("_at") + 1, F.size(lines))
-    buyer = _cut(after, F.lit(0), F.coalesce(_first(after, lambda x: _like(js_trim(x), BUYER_END)), F.size(after)))
-    buyer = F.concat(F.when(inline != "", F.array(inline)).otherwise(F.array().cast("array<string>")), buyer)
-    tail = _cut(lines, F.coalesce(_first(lines, lambda x: _like(js_trim(x), BUYER_END)), F.lit(1)), F.size(lines))
+    out = out.withColumn("_after", _cut(lines, at + 1, F.size(lines))).withColumn("_tail", _cut(lines, F.coalesce(ends(lines), F.lit(1)), F.size(lines)))
+    inline = F.regexp_extract(js_trim(F.get(lines, at)), r"(?i)^SAYIN\s+(.+)$", 1)
+    buyer = _cut(after, F.lit(0), F.coalesce(ends(after), F.size(after)))
+    out = out.withColumn("_buyer", F.concat(F.when(inline != "", F.array(inline)).otherwise(none), buyer))
     mark = F.coalesce(_first(tail, lambda x: _like(x, r"(?i)^\s*[İi]rsaliye\s*Tarihi\s*:")), _first(tail, lambda x: _like(x, r"(?i)^\s*Fatura\s*Tarihi\s*:")))
-    late = _cut(tail, mark + 1, F.size(tail))
-    late = _cut(late, F.lit(0), F.coalesce(_first(late, lambda x: _like(js_trim(x), SELLER_END)), F.size(late)))
-    seller = F.when(F.col("_at") > 0, _cut(lines, F.lit(0), F.col("_at"))).otherwise(F.coalesce(late, F.array().cast("array<string>")))
-    out = out.withColumn("_seller", F.when(F.col("_at").isNotNull(), party(seller))).withColumn("_buyer", F.when(F.col("_at").isNotNull(), party(buyer)))
+    out = out.withColumn("_mark", mark).withColumn("_late", _cut(tail, F.col("_mark") + 1, F.size(tail)))
+    out = out.withColumn("_late", _cut(late, F.lit(0), F.coalesce(_first(late, lambda x: _like(js_trim(x), SELLER_END)), F.size(late))))
+    out = out.withColumn("_seller", F.when(at > 0, _cut(lines, F.lit(0), at)).otherwise(F.coalesce(late, none)))
+    out = with_party(with_party(out, "_seller", "s"), "_buyer", "b")
     label = lambda names: F.substring(F.regexp_replace(line_after_label(F.col(text), names), r"\s{2,}", " "), 1, 240)
-    named = lambda s, names: F.struct(F.coalesce(F.col(s)["name"], label(names)).alias("name"), F.col(s)["address"].alias("address"), F.col(s)["tax_no"].alias("tax_no"))
-    out = out.withColumn("seller", named("_seller", SELLER_LABELS)).withColumn("buyer", named("_buyer", BUYER_LABELS))
-    return out.withColumn("buyer_country", country_of_address(F.col("buyer")["address"])).drop("_lines", "_at", "_seller", "_buyer")
+    known = lambda c: F.when(at.isNotNull(), F.col(c))
+    named = lambda s, names: F.struct(F.coalesce(known(s)["name"], label(names)).alias("name"), known(s)["address"].alias("address"), known(s)["tax_no"].alias("tax_no"))
+    out = out.select(*keep, named("s", SELLER_LABELS).alias("seller"), named("b", BUYER_LABELS).alias("buyer"))
+    return out.withColumn("buyer_country", country_of_address(F.col("buyer")["address"]))
+
 
+def header_fields(flat: Column) -> dict[str, Column]:
+    """Columns of the head, trade, transport and package fields, from the text in one line (a column that is made already).
 
-def header_fields(text: Column) -> dict[str, Column]:
-    """Columns of the head, trade, transport and package fields. The first ISO date anywhere comes before labelled dates."""
-    flat = js_trim(collapse(text))
+    The first ISO date anywhere comes before labelled dates.
+    """
     one = lambda p, g=1: F.when(_like(flat, p), F.regexp_extract(flat, p, g))
-    origin = F.coalesce(*(F.substring(js_trim(one(p)), 1, 120) for p in ORIGIN))
-    kap = one(PACKAGES)
+    first = lambda patterns: F.coalesce(*map(one, patterns))
+    short = lambda c, n: F.substring(js_trim(c), 1, n)
     return {
-        "invoice_no": js_trim(first_match(flat, INVOICE_NO)),
-        "invoice_date": F.coalesce(one(ISO_DATE), text_to_iso(first_match(flat, DATES))),
+        "invoice_no": js_trim(first(INVOICE_NO)),
+        "invoice_date": F.coalesce(one(ISO_DATE), text_to_iso(first(DATES))),
         "currency": one(CURRENCY),
-        "total_amount": last_separator_amount(first_match(flat, TOTALS)),
+        "total_amount": last_separator_amount(first(TOTALS)),
         "delivery_term": F.upper(one(TERM)),
-        "payment_type": F.substring(js_trim(F.regexp_replace(first_match(flat, PAYMENT), "[-_]{3,}", "")), 1, 120),
-        "origin": origin,
-        "transport_mode": F.coalesce(*(one(p) for p in MODES)),
-        "total_package": F.coalesce(kap, one(PACKAGE_COUNT)).try_cast("double"),
-        "package_type": F.when(F.length(one(PACKAGES, 2)) > 0, F.substring(one(PACKAGES, 2), 1, 40)),
-        "gross_kg": last_separator_amount(first_match(flat, GROSS)),
-        "net_kg": last_separator_amount(first_match(flat, NET)),
+        "payment_type": short(F.regexp_replace(first(PAYMENT), "[-_]{3,}", ""), 120),
+        "origin": short(first(ORIGIN), 120),
+        "transport_mode": first(MODES),
+        "total_package": first([PACKAGES, PACKAGE_COUNT]).try_cast("double"),
+        "package_type": F.nullif(F.substring(one(PACKAGES, 2), 1, 40), F.lit("")),
+        "gross_kg": last_separator_amount(first(GROSS)),
+        "net_kg": last_separator_amount(first(NET)),
     }
 
 
@@ -122,51 +129,63 @@ def _goods(line_no: Column, hs: Column, description: Column, qty: Column, unit:
     return F.struct(line_no.cast("int").alias("line_no"), hs.alias("hs_code"), description.alias("description"), qty.alias("quantity"), unit.alias("unit"), price.alias("unit_price"), total.alias("line_total"))
 
 
-def goods_block(block: Column) -> Column:
-    """One goods line of a block `\\n<number>\\n ... Karayolu <12 digits>`."""
-    no, body, hs = (F.regexp_extract(block, GOODS_BLOCK, g) for g in (1, 2, 3))
-    body = js_trim(body)
-    lines = F.filter(F.transform(F.split(body, "\n"), js_trim), lambda x: x != "")
-    unit_at = _first(lines, lambda x: _like(x, rf"(?i)^Adet{_R}"))
-    price = F.when(_like(body, r"(?i)Adet\s+([\d.,]+)"), last_separator_amount(F.regexp_extract(body, r"(?i)Adet\s+([\d.,]+)", 1)))
-    before = F.when(unit_at > 0, F.get(lines, unit_at - 1))
-    qty = F.when(_like(before, r"^[\d.,]+$"), quantity(before))
+def _grown(df: DataFrame, name: str, step: Callable[[Column, Column], dict[str, Column]], names: list[str]) -> DataFrame:
+    """Adds fields to the structs of an array, made from the fields they have."""
+    return df.withColumn(name, F.transform(name, lambda x, i: F.struct(*(x[n].alias(n) for n in names), *(c.alias(k) for k, c in step(x, i).items()))))
+
+
+def with_goods_blocks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Goods lines of the blocks `\\n<number>\\n ... Karayolu <12 digits>` of a text."""
+    got: list[str] = []
+
+    def grow(df: DataFrame, step: Callable[[Column, Column], dict[str, Column]], *names: str) -> DataFrame:
+        df = _grown(df, out, step, list(got))
+        got.extend(names)
+        return df
+
+    df = df.withColumn(out, F.transform(F.regexp_extract_all(text, F.lit(GOODS_BLOCK), F.lit(0)), lambda b: F.struct(F.regexp_extract(b, GOODS_BLOCK, 1).alias("no"), js_trim(F.regexp_extract(b, GOODS_BLOCK, 2)).alias("body"), F.regexp_extract(b, GOODS_BLOCK, 3).alias("hs"))))
+    got += ["no", "body", "hs"]
+    df = grow(df, lambda x, _: {"lines": F.filter(F.transform(F.split(x["body"], "\n"), js_trim), lambda v: v != "")}, "lines")
+    df = grow(df, lambda x, _: {"unit_at": _first(x["lines"], lambda v: _like(v, rf"(?i)^Adet{_R}"))}, "unit_at")
+    df = grow(df, lambda x, _: {"before": F.when(x["unit_at"] > 0, F.get(x["lines"], x["unit_at"] - 1))}, "before")
+    df = grow(df, lambda x, _: {"qty": F.when(_like(x["before"], r"^[\d.,]+$"), quantity(x["before"])), "price": last_separator_amount(F.nullif(F.regexp_extract(x["body"], r"(?i)Adet\s+([\d.,]+)", 1), F.lit("")))}, "qty", "price")
     # `EUR` and an amount on a line, or alone with the amount on the next one; a percentage line is none
-    amounts = F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("%")), None).when(_like(x, r"^EUR\s+[\d.,]+\s*$"), F.regexp_extract(x, r"^EUR\s+([\d.,]+)", 1)).when((x == "EUR") & _like(F.get(lines, i + 1), r"^[\d.,]+$"), F.get(lines, i + 1)))
-    total = F.array_max(F.filter(F.transform(amounts, last_separator_amount), lambda v: v > 1))
-    stop = F.when(unit_at.isNotNull(), unit_at - F.when(qty.isNotNull(), 2).otherwise(1)).otherwise(F.size(lines))
-    words = _cut(lines, F.lit(0), F.greatest(F.lit(0), stop))
-    code = lambda x: _like(x, "^[A-Z0-9]{10,28}$") & _like(x, "[0-9]") & _like(x, "[A-Z]")
-    words = _cut(words, F.lit(0), F.coalesce(_first(words, lambda x: ~code(x) & _like(x, rf"(?i)^EUR{_R}")), F.size(words)))
-    text = F.substring(js_trim(F.regexp_replace(F.array_join(F.filter(words, lambda x: ~code(x)), " "), r"\s{2,}", " ")), 1, 500)
-    return _goods(no, hs, F.when(text != "", text).otherwise(F.substring(body, 1, 400)), qty, F.lit("Adet"), price, total)
-
-
-def goods_single(line: Column, number: Column) -> Column:
-    """One goods line of a text line: after a 10 to 12 digit code a description, a known unit perhaps, and up to three numbers: quantity, price, total."""
-    tokens = F.filter(F.split(line, f"{JS_SPACE}+"), lambda x: x != "")
-    code = F.regexp_extract(line, rf"{_L}(\d{{10,12}}){_R}", 1)
-    right = F.reverse(_cut(tokens, F.array_position(tokens, code).cast("int"), F.size(tokens)))
-    value = lambda x: F.when(_like(x, r"^[\d.,-]+$"), last_separator_amount(x))
-    n = F.least(F.coalesce(_first(right, lambda x: value(x).isNull()), F.size(right)), F.lit(3))
-    # right is reversed: the first number is the line's last
-    num = lambda i: F.when(n > i, value(F.get(right, F.lit(i))))
-    unit = F.regexp_replace(F.upper(F.get(right, n)), "[^A-Z0-9]", "")
-    known = F.coalesce(unit.isin(*UNITS), F.lit(False))
-    text = F.reverse(_cut(right, n + known.cast("int"), F.size(right)))
-    return _goods(number, code, F.substring(F.array_join(text, " "), 1, 500), num(2), F.when(known, unit), num(1), num(0))
-
-
-def goods_lines(text: Column) -> Column:
-    """Goods lines of a text: from blocks, or from single lines (80 at most) if there is no block."""
-    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    blocks = F.transform(F.regexp_extract_all(text, F.lit(GOODS_BLOCK), F.lit(0)), goods_block)
-    lines = F.filter(F.transform(F.split(text, "\n"), js_trim), lambda x: F.exists(F.split(x, f"{JS_SPACE}+"), lambda t: (t == F.regexp_extract(x, rf"{_L}(\d{{10,12}}){_R}", 1)) & (t != "")))
-    single = F.transform(F.slice(lines, 1, MOST_GOODS_LINES), lambda x, i: goods_single(x, i + 1))
-    return F.when(F.size(blocks) > 0, blocks).otherwise(single)
+    amount = lambda ls: F.transform(ls, lambda v, i: F.when(F.contains(v, F.lit("%")), None).when(_like(v, r"^EUR\s+[\d.,]+\s*$"), F.regexp_extract(v, r"^EUR\s+([\d.,]+)", 1)).when((v == "EUR") & _like(F.get(ls, i + 1), r"^[\d.,]+$"), F.get(ls, i + 1)))
+    stop = lambda x: F.when(x["unit_at"].isNotNull(), x["unit_at"] - F.when(x["qty"].isNotNull(), 2).otherwise(1)).otherwise(F.size(x["lines"]))
+    df = grow(df, lambda x, _: {"total": F.array_max(F.filter(F.transform(amount(x["lines"]), last_separator_amount), lambda v: v > 1)), "words": _cut(x["lines"], F.lit(0), F.greatest(F.lit(0), stop(x)))}, "total", "words")
+    code = lambda v: _like(v, "^[A-Z0-9]{10,28}$") & _like(v, "[0-9]") & _like(v, "[A-Z]")
+    df = grow(df, lambda x, _: {"upto": F.coalesce(_first(x["words"], lambda v: ~code(v) & _like(v, rf"(?i)^EUR{_R}")), F.size(x["words"]))}, "upto")
+    df = grow(df, lambda x, _: {"text": F.substring(js_trim(F.regexp_replace(F.array_join(F.filter(_cut(x["words"], F.lit(0), x["upto"]), lambda v: ~code(v)), " "), r"\s{2,}", " ")), 1, 500)}, "text")
+    return df.withColumn(out, F.transform(out, lambda x: _goods(x["no"], x["hs"], F.coalesce(F.nullif(x["text"], F.lit("")), F.substring(x["body"], 1, 400)), x["qty"], F.lit("Adet"), x["price"], x["total"])))
+
+
+def with_goods_rows(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Goods lines of single text lines, 80 at most: after a 10 to 12 digit code a description, a known unit perhaps, and up to three numbers: quantity, price, total."""
+    tokens = lambda v: F.filter(F.split(v, f"{JS_SPACE}+"), lambda t: t != "")
+    df = df.withColumn(out, F.transform(F.split(text, "\n"), lambda v: F.struct(tokens(v).alias("tokens"), F.regexp_extract(v, rf"{_L}(\d{{10,12}}){_R}", 1).alias("code"))))
+    df = df.withColumn(out, F.slice(F.filter(out, lambda x: (x["code"] != "") & F.array_contains(x["tokens"], x["code"])), 1, MOST_GOODS_LINES))
+    # what follows the code, from the right: the first number is the line's last
+    df = df.withColumn(out, F.transform(out, lambda x: F.struct(x["code"].alias("code"), F.reverse(_cut(x["tokens"], F.array_position(x["tokens"], x["code"]).cast("int"), F.size(x["tokens"]))).alias("right"))))
+    value = lambda v: F.when(_like(v, r"^[\d.,-]+$"), last_separator_amount(v))
+    df = _grown(df, out, lambda x, _: {"nums": F.transform(F.slice(x["right"], 1, 3), value)}, ["code", "right"])
+    df = _grown(df, out, lambda x, _: {"n": F.coalesce(_first(x["nums"], lambda v: v.isNull()), F.size(x["nums"]))}, ["code", "right", "nums"])
+    df = _grown(df, out, lambda x, _: {"unit": F.regexp_replace(F.upper(F.get(x["right"], x["n"])), "[^A-Z0-9]", "")}, ["code", "right", "nums", "n"])
+
+    def line(x: Column, i: Column) -> Column:
+        known = F.coalesce(x["unit"].isin(*UNITS), F.lit(False))
+        num = lambda k: F.when(x["n"] > k, F.get(x["nums"], F.lit(k)))
+        rest = F.array_join(F.reverse(_cut(x["right"], x["n"] + known.cast("int"), F.size(x["right"]))), " ")
+        return _goods(i + 1, x["code"], F.substring(rest, 1, 500), num(2), F.when(known, x["unit"]), num(1), num(0))
+
+    return df.withColumn(out, F.transform(out, line))
 
 
 def extract_invoices(df: DataFrame, text: str = "text") -> DataFrame:
-    """All fields of invoice texts: parties, head, trade, transport, packages, goods lines. A null text gives null fields."""
-    out = parties(df, text)
-    return out.withColumns(header_fields(F.col(text))).withColumn("goods", goods_lines(F.col(text)))
+    """All fields of invoice texts: parties, head, trade, transport, packages, goods lines (of blocks, or of single lines without one).
+
+    A null text gives null fields. Columns that begin with an underscore are used inside.
+    """
+    out = parties(df, text).withColumn("_flat", js_trim(collapse(F.col(text)))).withColumn("_text", F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
+    out = out.withColumns(header_fields(F.col("_flat")))
+    out = with_goods_rows(with_goods_blocks(out, "_text", "_blocks"), "_text", "_rows")
+    return out.withColumn("goods", F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(F.col("_rows"))).drop("_flat", "_text", "_blocks", "_rows")

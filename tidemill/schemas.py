@@ -20,7 +20,7 @@ COLLECTIONS = {
     "users": f"id string, companyId string, email string, name string, role string, active boolean, permissions map<string,string>, {_STAMP}",
     "approval_rules": f"companyId string, levels map<string,int>, {_STAMP}",
 }
-WORD_BOXES = StructType.fromDDL("doc_id string, page int, pos int, text string, x0 double, y0 double, x1 double, y1 double, score double")
+WORD_BOXES = "doc_id string, page int, pos int, text string, x0 double, y0 double, x1 double, y1 double, score double"
 
 
 def collection(name: str) -> StructType:
