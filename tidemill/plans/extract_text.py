@@ -106,7 +106,8 @@ def header_fields(flat: Column) -> dict[str, Column]:
 
     The first ISO date anywhere comes before labelled dates.
     """
-    one = lambda p, g=1: F.when(_like(flat, p), F.regexp_extract(flat, p, g))
+    # no group of a match is empty, so one search tells both whether and what
+    one = lambda p, g=1: F.nullif(F.regexp_extract(flat, p, g), F.lit(""))
     first = lambda patterns: F.coalesce(*map(one, patterns))
     short = lambda c, n: F.substring(js_trim(c), 1, n)
     return {
@@ -119,7 +120,7 @@ def header_fields(flat: Column) -> dict[str, Column]:
         "origin": short(first(ORIGIN), 120),
         "transport_mode": first(MODES),
         "total_package": first([PACKAGES, PACKAGE_COUNT]).try_cast("double"),
-        "package_type": F.nullif(F.substring(one(PACKAGES, 2), 1, 40), F.lit("")),
+        "package_type": F.substring(one(PACKAGES, 2), 1, 40),
         "gross_kg": last_separator_amount(first(GROSS)),
         "net_kg": last_separator_amount(first(NET)),
     }
