@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 4096, 16384, 128
 #: Shares of a block that are read of every list, one after another.
-DEPTHS = (0.5, 1.0)
+DEPTHS = (0.5, 0.85, 1.0)
 
 
 def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
