@@ -10,9 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import os
 import re
-import tempfile
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import map_slices, shared_dir, table
 
 #: Words that are compiled: bounds the file, the driver's share of the counts and the time to compile.
 LEXICON_WORDS = 50_000
@@ -214,10 +212,14 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS
     found = [w.encode() for w in frequent_words(docs, most) if words(w, tokenizer_path) == [w]]
     data = compile_lexicon(zip(found, merger.ids(found), strict=True))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
-    where = os.path.join(tempfile.mkdtemp(prefix="tidemill-lexicon-"), name)
-    with open(where, "wb") as f:  # the driver's own copy, which Spark serves to the executors
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(where)
+    # into the shared folder, from which Spark gives every executor a copy; a session takes a name from one path only
+    sc = docs.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(docs.sparkSession)}/tidemill/{name}")
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(where, True)
+    out.write(bytearray(data))
+    out.close()
+    sc.addFile(fs.makeQualified(where).toString())
     return name
 
 
