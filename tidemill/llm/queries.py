@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_chat": chat.OP7_SQL, "op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op7_preference_chat": chat.OP7_SQL, "op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
