@@ -80,6 +80,17 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, hot):
     assert got == dedup_brute(docs)
 
 
+def test_frequent_words_take_all_counts_above_a_level(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["aa", "bb", "cc"]) if r.random() < 0.7 else f"w{'x' * r.randint(1, 9)}" for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string")
+    counts = Counter(w for t in texts for w in t.split())
+    for most in (3, 6, 100):
+        got = lexicon.frequent_words(docs, most)
+        assert len(got) <= most and (not got or min(counts[w] for w in got) > max([0, *(n for w, n in counts.items() if w not in got and n > 1)]))
+    assert set(lexicon.frequent_words(docs, 100)) == {w for w, n in counts.items() if n > 1}
+
+
 def test_line_dedup_odd_rows(spark):
     out = line_dedup.dedup_lines(clashing(frame(spark, ODD)))
     rows = out.collect()
@@ -197,6 +208,7 @@ def repeat_brute(words):
     return len({i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)})
 
 
+@settings(deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b"]), max_size=60))
 def test_repeat_words(words):
     assert rules.n_repeat_words(words) == repeat_brute(words)
