@@ -12,8 +12,6 @@ many queries are a few products of small integer matrices (exact in float32).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
