@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, shared_dir, table
+from .common import map_slices, shared_dir, stored, table
 
 #: Words that are compiled: bounds the file, the driver's share of the counts and the time to compile.
 LEXICON_WORDS = 50_000
@@ -200,10 +200,20 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent runs of letters of all texts, counted over every document (ties by the word)."""
+    """Frequent runs of letters of all texts, counted over every document: those that occur so often that no more than `most` do.
+
+    A histogram of counts on a logarithmic scale, a few thousand rows, gives the bound first. So only the words that are
+    taken reach the driver, whatever the number of partitions.
+    """
     runs = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.octet_length("w") <= LONGEST))
-    top = runs.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return [r[0] for r in top.collect()]
+    counts = stored(runs.groupBy("w").agg(F.count("*").alias("n")).select("w", F.floor(F.log2("n") * 64).cast("int").alias("level")).where("level > 0"), "words")
+    left, least = most, None
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = level
+    return sorted(r[0] for r in counts.where(F.col("level") >= least).select("w").collect()) if least is not None else []
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> str:
