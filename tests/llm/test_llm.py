@@ -80,6 +80,43 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, hot):
     assert got == dedup_brute(docs)
 
 
+def test_line_dedup_threshold_grows_with_length(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MIN_CHARS", 16)
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdé ") for _ in range(n)) for n in (16, 24, 31, 33, 40, 66, 70, 130)]
+
+    def changed(s):
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            i = r.randrange(len(s))
+            s = r.choice([s[:i] + s[i + 1 :], s[:i] + r.choice("xyz") + s[i:], s[:i] + "w" + s[i + 1 :]])
+        return s
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    docs = [(i, "\n".join(changed(r.choice(base)) for _ in range(4))) for i in range(60)]
+    seen, want = [], {}
+    for i, t in docs:
+        keep = []
+        for x in t.split("\n"):
+            if len(x) < 16 or not any(distance(x, s) <= min(len(x), len(s)).bit_length() - 4 for s in seen if abs(len(x) - len(s)) < 6):
+                keep.append(x)
+            if len(x) >= 16:
+                seen.append(x)
+        want[i] = "\n".join(keep)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot, splits in ((64, 3), (2, 1), (3, 3)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "SPLITS", splits)
+        got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, lambda n: F.length(F.bin(n.cast("long"))) - 4).collect()}
+        assert got == want, hot
+
+
 def test_frequent_words_take_all_counts_above_a_level(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice(["aa", "bb", "cc"]) if r.random() < 0.7 else f"w{'x' * r.randint(1, 9)}" for _ in range(30)) for _ in range(40)]
