@@ -483,3 +483,11 @@ def test_pipeline_stages(spark, tmp_path):
     out = P.run(spark, str(tmp_path))
     sizes = {x.doc_id: (x.doc_tokens, x.total) for x in out.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("total")).collect()}
     assert sizes and all(a == b for a, b in sizes.values()) and not {100, 101, 102} & sizes.keys() and 103 in sizes
+
+
+def test_pipeline_drops_short_repeated_lines(spark):
+    import corpus_pipeline as P
+
+    texts = ["one\n\nAll rights reserved.", "two\n\nAll rights reserved.\nx\nx", "one\n", "three\n\n"]
+    got = {x.doc_id: x.text for x in P.dedup_lines(spark, frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "").collect()}
+    assert got == {0: texts[0], 1: "two\n\nx", 3: texts[3]}
