@@ -491,3 +491,13 @@ def test_pipeline_drops_short_repeated_lines(spark):
     texts = ["one\n\nAll rights reserved.", "two\n\nAll rights reserved.\nx\nx", "one\n", "three\n\n"]
     got = {x.doc_id: x.text for x in P.dedup_lines(spark, frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "").collect()}
     assert got == {0: texts[0], 1: "two\n\nx", 3: texts[3]}
+
+
+def test_pipeline_rejects_unknown_languages(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(3)
+    made = {"en": "the and thing which that with from have".split(), "fr": "le été eau que dans une pour avec".split()}
+    docs = [(i, " ".join(r.choice(made[x]) for _ in range(30)), x, "s", 1) for i, x in enumerate(["en", "fr"] * 60)]
+    junk = [(200, "это совсем другой язык " * 9, None, "s", 1), (201, "zqxv kkjj wqzz xxqj vvkk xqq " * 9, None, "s", 1), (202, "中文文本没有空格 " * 20, None, "s", 1)]
+    assert {x.doc_id for x in P.identify_language(spark, frame(spark, docs + junk), "").collect()} == {d[0] for d in docs}
