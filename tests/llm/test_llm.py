@@ -501,3 +501,10 @@ def test_pipeline_rejects_unknown_languages(spark):
     docs = [(i, " ".join(r.choice(made[x]) for _ in range(30)), x, "s", 1) for i, x in enumerate(["en", "fr"] * 60)]
     junk = [(200, "это совсем другой язык " * 9, None, "s", 1), (201, "zqxv kkjj wqzz xxqj vvkk xqq " * 9, None, "s", 1), (202, "中文文本没有空格 " * 20, None, "s", 1)]
     assert {x.doc_id for x in P.identify_language(spark, frame(spark, docs + junk), "").collect()} == {d[0] for d in docs}
+
+
+def test_pipeline_without_known_languages(spark):
+    import corpus_pipeline as P
+
+    df = frame(spark, [(1, "some words", None, "s", 1), (2, "123 !?", None, "s", 1), (3, None, None, "s", 1), (4, "中文", None, "s", 1), (5, "_1é", None, "s", 1)])
+    assert {x.doc_id for x in P.identify_language(spark, df, "").collect()} == {1, 4, 5}
