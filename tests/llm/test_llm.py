@@ -390,6 +390,16 @@ def test_top_k(spark, n):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("top", [5_000, 1 << 28])
+def test_top_k_large_components(top):
+    r = np.random.default_rng(8)
+    C = top + r.integers(-3, 4, size=(300, 8))
+    a, b, s = topk.nra_block(C[:20], np.arange(20), C, np.arange(300), 5)
+    for q in range(20):
+        full = C @ C[q]
+        assert [(int(c), int(v)) for i, c, v in zip(a, b, s) if i == q] == [(c, -m) for m, c in sorted((-int(full[c]), c) for c in range(300) if c != q)[:5]]
+
+
 # --- 10 Jaccard join
 
 

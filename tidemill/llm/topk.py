@@ -7,7 +7,8 @@ a lower and an upper bound of every score, and stops for a query when only few c
 it resolves final scores of those that can and of no others.
 
 Because lists are read in lockstep, the last value read of a list is the same for every query of a block, so bounds of
-many queries are a few products of small integer matrices (exact in float32).
+many queries are a few products of small integer matrices: in float32 where no sum can pass 2^24, so that it is exact there, else
+in float64 with bounds widened by its rounding. Final scores are exact integers (of 64 bits, which they must not pass).
 """
 
 from __future__ import annotations
@@ -33,31 +34,34 @@ def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids:
     cands, c_ids = cands[order], c_ids[order]
     falling = -np.sort(-cands, axis=0)  # the sorted lists; rising order is the same read from the end
     lo, hi = falling[-1], falling[0]
-    X = cands.astype(np.float32)
+    most = float(np.abs(cands).max(initial=0)) * float(np.abs(queries).max(initial=0)) * cands.shape[1]
+    kind = np.float32 if most <= 1 << 24 else np.float64
+    slack = 0.0 if most <= 1 << 53 else most * cands.shape[1] * 2.0**-51
+    X = cands.astype(kind if most <= 1 << 53 else np.int64)
     out_q, out_c, out_s = [], [], []
     levels = []
     for share in DEPTHS:
         r = min(n, max(1, int(np.ceil(share * n))))
         down, up = falling[r - 1], falling[n - r]  # last values read, in falling and in rising order
         # upper: known values, else the last value read; lower: known values, else the list's far end
-        levels.append((np.maximum(cands, down).astype(np.float32).T, np.minimum(cands, up).astype(np.float32).T, np.where(cands >= down, cands, lo).astype(np.float32).T, np.where(cands <= up, cands, hi).astype(np.float32).T))
+        levels.append((np.maximum(cands, down).astype(kind).T, np.minimum(cands, up).astype(kind).T, np.where(cands >= down, cands, lo).astype(kind).T, np.where(cands <= up, cands, hi).astype(kind).T))
         if r == n:
             break
     for at in range(0, len(queries), CHUNK):
         rows = np.arange(at, min(at + CHUNK, len(queries)))
         for up_pos, up_neg, low_pos, low_neg in levels:
-            Q = queries[rows].astype(np.float32)
+            Q = queries[rows].astype(kind)
             pos, neg = np.maximum(Q, 0), np.minimum(Q, 0)
-            lower, upper = pos @ low_pos + neg @ low_neg, pos @ up_pos + neg @ up_neg
+            lower, upper = pos @ low_pos + neg @ low_neg - slack, pos @ up_pos + neg @ up_neg + slack
             own = q_ids[rows][:, None] == c_ids[None, :]
             lower[own] = upper[own] = -np.inf
             last = up_pos is levels[-1][0]
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf, np.float32)
+            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf, kind)
             open_ = (upper >= kth[:, None]) & (upper > -np.inf)
             stop = (open_.sum(axis=1) <= max(4 * k, n // 8)) | last
             for i in np.flatnonzero(stop):
                 c = np.flatnonzero(open_[i])
-                s = (X[c] @ Q[i]).astype(np.int64)
+                s = (X[c] @ queries[rows[i]].astype(X.dtype)).astype(np.int64)
                 best = np.lexsort((c, -s))[:k]
                 out_q.append(np.full(len(best), rows[i]))
                 out_c.append(order[c[best]])
@@ -79,7 +83,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_
     Queries are met in blocks with blocks of candidates, so a task holds QUERY_BLOCK and CANDIDATE_BLOCK vectors at
     most and sends k rows per query on.
     """
-    x = F.transform(vector_col, lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("int"))
+    x = F.transform(vector_col, lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("long"))
     sound = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     base = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & sound).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
     total, dims, queries = base.agg(F.count("*"), F.max(F.size("x")), F.count(F.when(F.col("id") % every == 0, 1))).first()
@@ -91,7 +95,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_
     query = base.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x")).select("id", "x", deal(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
 
     def matrix(col: pd.Series) -> np.ndarray:
-        out = np.zeros((len(col), dims), np.int32)
+        out = np.zeros((len(col), dims), np.int64)
         for i, v in enumerate(col):
             out[i, : len(v)] = v
         return out
