@@ -1,14 +1,14 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists, one list per component.
 
-Each block of candidates keeps, for every component, its values in falling and in rising order. Lists are read
-in lockstep, a growing depth at a time. After depth r a candidate's component is known where its value lies within
-the part read; elsewhere it lies between the list's far end and the last value read. From these the kernel keeps
-a lower and an upper bound of every score, and stops for a query when only few candidates can still qualify: then
-it resolves final scores of those that can and of no others.
-
-Because lists are read in lockstep, the last value read of a list is the same for every query of a block, so bounds of
-many queries are a few products of small integer matrices: in float32 where no sum can pass 2^24, so that it is exact there, else
-in float64 with bounds widened by its rounding. Final scores are exact integers (of 64 bits, which they must not pass).
+Each block of candidates keeps, for every component, its rows sorted by value. Lists are read in lockstep, a step of rows at
+a time: in falling order for queries whose weight of the component is positive, in rising order where it is negative. What is
+read is added to a running lower bound of its candidate's score, in which components not yet read count as the list's far
+end. The last values read bound a candidate that no list has shown yet; once none such can qualify for a query, upper
+bounds are drawn for all its candidates, and the query stops when only few can still qualify: final scores of those are resolved,
+and of no others. Queries that have stopped leave the running sums; lists end early when all have.
+
+Running sums are in float32 where no sum can pass 2^24, so that they are exact, else in float64 with bounds widened by its
+rounding. Final scores are exact integers; one beyond a long counts as the long's end.
 """
 
 from __future__ import annotations
@@ -19,54 +19,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 4096, 16384, 128
-#: Shares of a block that are read of every list, one after another.
-DEPTHS = (0.5, 0.85, 1.0)
+QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 16384, 8192, 128
+#: Steps in which a list is read.
+STEPS = 16
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def exact_scores(X: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of X with q as longs, by Python's integers where 64 bits might not do."""
+    if float(np.abs(X.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * X.shape[1] < 1 << 62:
+        return X @ q
+    return np.array([min(max(sum(map(int.__mul__, x, q.tolist())), _LONG[0]), _LONG[1]) for x in X.tolist()], np.int64)
+
+
+def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int, depths: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates in this block of each query, but of its own id: (query row, candidate row, score), exact, ties to the smaller id.
 
-    Fewer than k candidates: all. Repeated rows count each on its own.
+    Fewer than k candidates: all. Repeated rows count each on its own. `depths` takes the share of the lists read for each query.
     """
-    n = len(cands)
-    order = np.argsort(c_ids, kind="stable")
-    cands, c_ids = cands[order], c_ids[order]
-    falling = -np.sort(-cands, axis=0)  # the sorted lists; rising order is the same read from the end
-    lo, hi = falling[-1], falling[0]
-    most = float(np.abs(cands).max(initial=0)) * float(np.abs(queries).max(initial=0)) * cands.shape[1]
+    n, dims = cands.shape
+    by_id = np.argsort(c_ids, kind="stable")
+    cands, c_ids = cands[by_id], c_ids[by_id]
+    order = np.argsort(cands, axis=0, kind="stable")[::-1]  # the sorted lists; rising order is the same read from the end
+    most = float(np.abs(cands.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * dims
     kind = np.float32 if most <= 1 << 24 else np.float64
-    slack = 0.0 if most <= 1 << 53 else most * cands.shape[1] * 2.0**-51
-    X = cands.astype(kind if most <= 1 << 53 else np.int64)
+    slack = 0.0 if most <= 1 << 52 else most * dims * 2.0**-50
+    value = np.take_along_axis(cands, order, 0).astype(kind)
+    exact = cands.astype(kind if most <= 1 << 52 else np.int64)
+    lo, hi = value[-1], value[0]
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[:, None], 0)
+    few, step = max(4 * k, n // 16), max(1, -(-n // STEPS))
     out_q, out_c, out_s = [], [], []
-    levels = []
-    for share in DEPTHS:
-        r = min(n, max(1, int(np.ceil(share * n))))
-        down, up = falling[r - 1], falling[n - r]  # last values read, in falling and in rising order
-        # upper: known values, else the last value read; lower: known values, else the list's far end
-        levels.append((np.maximum(cands, down).astype(kind).T, np.minimum(cands, up).astype(kind).T, np.where(cands >= down, cands, lo).astype(kind).T, np.where(cands <= up, cands, hi).astype(kind).T))
-        if r == n:
-            break
     for at in range(0, len(queries), CHUNK):
         rows = np.arange(at, min(at + CHUNK, len(queries)))
-        for up_pos, up_neg, low_pos, low_neg in levels:
-            Q = queries[rows].astype(kind)
-            pos, neg = np.maximum(Q, 0), np.minimum(Q, 0)
-            lower, upper = pos @ low_pos + neg @ low_neg - slack, pos @ up_pos + neg @ up_neg + slack
-            own = q_ids[rows][:, None] == c_ids[None, :]
-            lower[own] = upper[own] = -np.inf
-            last = up_pos is levels[-1][0]
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf, kind)
-            open_ = (upper >= kth[:, None]) & (upper > -np.inf)
-            stop = (open_.sum(axis=1) <= max(4 * k, n // 8)) | last
+        weight = queries[rows].T.astype(kind)
+        pos, neg = np.maximum(weight, 0), np.minimum(weight, 0)
+        lower = np.repeat((lo @ pos + hi @ neg)[None, :], n, 0)
+        for r in range(0, n, step):
+            e = min(n, r + step)
+            for d in range(dims):
+                lower[order[r:e, d]] += (value[r:e, d] - lo[d])[:, None] * pos[d]
+                lower[order[n - e : n - r, d]] += (value[n - e : n - r, d] - hi[d])[:, None] * neg[d]
+            # what a list can still add over its far end
+            gain = np.concatenate([pos * (value[e - 1] - lo)[:, None], neg * (value[n - e] - hi)[:, None]])
+            unseen = (lo @ pos + hi @ neg) + gain.sum(0)
+            ready = np.flatnonzero((unseen - slack <= lower.max(0) + slack) | (e == n))
+            if not len(ready):
+                continue
+            low = np.ascontiguousarray(lower[:, ready].T)
+            own = q_ids[rows[ready]][:, None] == c_ids[None, :]
+            low[own] = -np.inf
+            kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(ready), -np.inf, kind)
+            if slack:  # scores beyond a long are equal
+                kth = np.where(kth < _LONG[0], -np.inf, np.minimum(kth, _LONG[1]))
+            able = np.flatnonzero((unseen[ready] <= kth + 2 * slack) | (e == n))
+            if not len(able):
+                continue
+            hidden = np.concatenate([place >= e, place < n - e], 1).astype(kind)
+            open_ = low[able] + (hidden @ gain[:, ready[able]]).T + 2 * slack >= kth[able, None]
+            open_ &= ~own[able]
+            stop = (open_.sum(1) <= few) | (e == n)
             for i in np.flatnonzero(stop):
                 c = np.flatnonzero(open_[i])
-                s = (X[c] @ queries[rows[i]].astype(X.dtype)).astype(np.int64)
-                best = np.lexsort((c, -s))[:k]
-                out_q.append(np.full(len(best), rows[i]))
-                out_c.append(order[c[best]])
+                q = queries[rows[ready[able[i]]]]
+                s = exact_scores(cands[c], q) if exact.dtype == np.int64 else (exact[c] @ q.astype(kind)).astype(np.int64)
+                best = np.lexsort((c, ~s))[:k]
+                out_q.append(np.full(len(best), rows[ready[able[i]]]))
+                out_c.append(by_id[c[best]])
                 out_s.append(s[best])
-            rows = rows[~stop]
+                if depths is not None:
+                    depths.append(e / n)
+            stay = np.delete(np.arange(len(rows)), ready[able[stop]])
+            if len(stay) < len(rows):
+                rows, pos, neg, lower = rows[stay], pos[:, stay], neg[:, stay], np.ascontiguousarray(lower[:, stay])
             if not len(rows):
                 break
     if not out_q:
@@ -77,9 +103,9 @@ def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids:
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows by integer inner product for each row whose id is divisible by `every`.
 
-    Components become floor(scale * x). Rows whose id is null, or whose vector is null, empty or holds a null, NaN or infinite
-    component, take no part. A shorter vector counts as ended by zeros. Repeated query ids give one list each, of the
-    row that comes first by vector; repeated candidate rows count each. Empty table: no rows.
+    Components become floor(scale * x), those beyond a long its end. Rows whose id is null, or whose vector is null, empty or holds a
+    null, NaN or infinite component, take no part. A shorter vector counts as ended by zeros. Repeated query ids give one
+    list each, of the row that comes first by vector; repeated candidate rows count each. Empty table: no rows.
     Queries are met in blocks with blocks of candidates, so a task holds QUERY_BLOCK and CANDIDATE_BLOCK vectors at
     most and sends k rows per query on.
     """
