@@ -7,7 +7,7 @@ Other turns of a completion are masked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -16,22 +16,22 @@ END = "<|end|>"
 LEARNED = "assistant"
 
 
-def _head(t: F.Column) -> F.Column:
+def _head(t: Column) -> Column:
     return F.concat(F.lit("<|"), t["role"], F.lit("|>\n"))
 
 
-def _turn(t: F.Column) -> F.Column:
+def _turn(t: Column) -> Column:
     return F.concat(_head(t), t["text"], F.lit(END + "\n"))
 
 
-def _rendered(turns: F.Column) -> F.Column:
+def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, _turn), "")
 
 
-def _mask(turns: F.Column) -> F.Column:
+def _mask(turns: Column) -> Column:
     """start:end of every learned stretch of the rendered turns, in code points, end exclusive, joined by commas."""
 
-    def step(acc: F.Column, t: F.Column) -> F.Column:
+    def step(acc: Column, t: Column) -> Column:
         start = acc["at"] + F.length(_head(t))
         span = F.concat_ws(":", start, start + F.length(t["text"]) + len(END))
         out = F.when(t["role"] == LEARNED, F.concat(acc["out"], F.when(acc["out"] == "", "").otherwise(","), span)).otherwise(acc["out"])
@@ -40,18 +40,13 @@ def _mask(turns: F.Column) -> F.Column:
     return F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)["out"]
 
 
-def format_preferences(turns: DataFrame) -> DataFrame:
-    """Rows (pair_id, side, turn, role, text), side 0 chosen and 1 rejected, to one row for each pair.
+def render_preferences(pairs: DataFrame) -> DataFrame:
+    """Rows (pair_id, chosen, rejected), sides being arrays of (role, text) without nulls in them, to one row for each.
 
-    pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask. Turns stand in order of turn, then role,
-    then text (null turns first); repeated rows count once; null roles and texts are empty. Turns are equal if role and
-    text are. A side that ends with the prompt has an empty completion and mask; a side without rows has null ones, and then
-    there is no prompt turn. Rows whose pair_id is null take no part. Other columns are ignored; an empty table gives no row.
+    pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask. Turns are equal if role and text are. A side that
+    ends with the prompt has an empty completion and mask; an empty or null side has null ones, and then there is no prompt turn.
     """
-    one = F.struct("side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = turns.where("pair_id is not null").groupBy("pair_id").agg(F.array_sort(F.collect_set(one)).alias("all"))
-    bare = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    pairs = pairs.select("pair_id", bare(F.filter("all", lambda t: t["side"] == 0)).alias("c"), bare(F.filter("all", lambda t: t["side"] == 1)).alias("r"))
+    pairs = pairs.select("pair_id", *(F.coalesce(side, F.array().cast("array<struct<role:string,text:string>>")).alias(c) for side, c in (("chosen", "c"), ("rejected", "r"))))
     equal = F.zip_with("c", "r", lambda x, y: x.eqNullSafe(y))  # the shorter side is filled by nulls, which equal no turn
     differ = F.array_position(equal, F.lit(False))
     pairs = pairs.withColumn("n", F.when(differ == 0, F.size("c")).otherwise(differ - 1).cast("int"))
@@ -63,20 +58,70 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
+def _ordered(turns: DataFrame, key: str, side: str) -> DataFrame:
+    """key, c and r: the turns of side 0 and side 1 in order, each an array of (role, text); rows whose key is null take no part."""
+    one = F.struct(F.col(side).alias("side"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    every = turns.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(one)).alias("all"))
+    bare = lambda n: F.transform(F.filter("all", lambda t: t["side"] == n), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return every.select(key, bare(0).alias("c"), bare(1).alias("r"))
+
+
+def format_preferences(turns: DataFrame) -> DataFrame:
+    """Rows (pair_id, side, turn, role, text), side 0 chosen and 1 rejected, to one row for each pair, as render_preferences gives it.
+
+    Turns stand in order of turn, then role, then text (null turns first); repeated rows count once; null roles and texts are
+    empty. Rows whose pair_id is null take no part, nor do those of other sides, but for a pair that has only such. Other columns are
+    ignored; an empty table gives no row.
+    """
+    return render_preferences(_ordered(turns, "pair_id", "side").select("pair_id", F.col("c").alias("chosen"), F.col("r").alias("rejected")))
+
+
+def _last_learned(turns: Column) -> Column:
+    """Place, from 1, of the last learned turn; 0 without any."""
+    back = F.array_position(F.transform(F.reverse(turns), lambda t: t["role"] == LEARNED), F.lit(True))
+    return F.when(back > 0, F.size(turns) - back + 1).otherwise(0).cast("int")
+
+
+def swapped_answers(conversations: DataFrame) -> DataFrame:
+    """pair_id, chosen and rejected of every conversation (conv_id, turn, role, text): rejected are the same turns, but the last
+    assistant turn says what that of the neighbour (of 2k and 2k + 1 the other one) says.
+
+    Without an assistant turn both sides are alike; where only the neighbour has none, rejected lacks that turn. Order, repeats and
+    nulls as in format_preferences.
+    """
+    both = _ordered(conversations.withColumn("side", F.col("conv_id").bitwiseAND(F.lit(1).cast("long")).cast("int")).withColumn("k", F.shiftright("conv_id", 1)), "k", "side")
+    both = both.select("k", "c", "r", _last_learned(F.col("c")).alias("lc"), _last_learned(F.col("r")).alias("lr"))
+
+    def pair(bit: int, own: str, last: str, other: str, its: str) -> Column:
+        head, tail = F.slice(own, F.lit(1), F.greatest(F.col(last) - 1, F.lit(0))), F.slice(own, F.col(last) + 1, F.size(own))
+        rejected = F.when(F.col(last) == 0, F.col(own)).otherwise(F.concat(head, F.slice(other, F.greatest(its, F.lit(1)), F.when(F.col(its) > 0, 1).otherwise(0)), tail))
+        return F.struct((F.shiftleft("k", 1) + bit).alias("pair_id"), F.col(own).alias("chosen"), rejected.alias("rejected"))
+
+    return both.select(F.explode(F.array(pair(0, "c", "lc", "r", "lr"), pair(1, "r", "lr", "c", "lc"))).alias("p")).select("p.*").where(F.size("chosen") > 0)
+
+
 def op7_preference_chat(spark, sf_dir):
-    """Neighbouring conversations are pairs: of 2k and 2k + 1, the even one is chosen."""
-    t = table(spark, sf_dir, "conversations")
-    return format_preferences(t.select(F.shiftright("conv_id", 1).alias("pair_id"), F.col("conv_id").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("side"), "turn", "role", "text"))
+    """The table names no pairs: every conversation is preferred to itself with its last answer swapped for its neighbour's."""
+    return render_preferences(swapped_answers(table(spark, sf_dir, "conversations")))
 
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t
+), last AS (
+  SELECT conv_id, max(i) AS i, arg_max(text, i) AS text FROM o WHERE role = 'assistant' GROUP BY 1
+), sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, i AS j, role, text FROM o
+  UNION ALL
+  SELECT o.conv_id, 1, o.i, o.role, CASE WHEN o.i = mine.i THEN other.text ELSE o.text END
+  FROM o LEFT JOIN last mine ON mine.conv_id = o.conv_id LEFT JOIN last other ON other.conv_id = xor(o.conv_id, 1)
+  WHERE mine.i IS NULL OR o.i <> mine.i OR other.i IS NOT NULL
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i,
+  SELECT pair_id, side, role, text, row_number() OVER (PARTITION BY pair_id, side ORDER BY j) AS i,
          '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
-  FROM t
+  FROM sides
 ), d AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, min(coalesce(a.i, b.i)) AS first
   FROM (SELECT * FROM n WHERE side = 0) a FULL JOIN (SELECT * FROM n WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i
