@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -25,11 +26,22 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
+#: Bytes of the shortest DER value that is taken for a key: an integer pair of a small elliptic-curve signature key has more.
+LEAST_DER = 24
+
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(r"\b(?:[0-9a-fA-F]{2}){24,}\b")
-_JWT = re.compile(r"\b(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+# Where base64 of a key may begin: an ASN.1 SEQUENCE, an SSH key type, or the magic of an OpenSSH private key. What stands before is no letter or digit.
+_BASE64_HEAD = re.compile(r"(?<![A-Za-z0-9])(?:M[A-I]|AAAA|b3BlbnNzaC1rZXktdjEA)(?=[A-Za-z0-9+/_-]{28})")
+_RUN, _FOLD = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"(?:\r?\n[ \t]*|\\n)(?=[A-Za-z0-9+/_-])")
+_HEX_ANY = re.compile(r"(?<![A-Za-z0-9])30(?:[0-9a-fA-F]{2}){%d,}(?![A-Za-z0-9])" % (LEAST_DER - 1))
+_JWT_HEAD, _JWT_REST = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]*"), re.compile(r"\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_INSIDE = re.compile(r"(?<![A-Za-z0-9])eyJ")
+_SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)")
+_FIRST = (0x02, 0x30)  # tags that a key encoding may begin with inside
+_SSH_MAGIC = b"openssh-key-v1\x00"
+# Fields of an SSH public key after its type, by the beginning of the type.
+_SSH_FIELDS = {b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-": 2, b"sk-ssh-ed25519": 2, b"sk-ecdsa-": 3}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,66 +67,77 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
-def der_fills(b: bytes, depth: int = 0) -> bool:
-    """Whether b is a run of ASN.1 DER values that fills it exactly, constructed ones likewise inside."""
-    at = 0
-    while at < len(b):
-        if len(b) - at < 2 or depth > 12:
-            return False
-        tag, n = b[at], b[at + 1]
-        at += 2
-        if n >= 0x80:
-            size = n & 0x7F
-            if not 1 <= size <= 4 or len(b) - at < size:
-                return False
-            n = int.from_bytes(b[at : at + size], "big")
-            if n < 0x80 or (size > 1 and b[at] == 0):  # DER wants the shortest form
-                return False
-            at += size
-        if len(b) - at < n or (tag & 0x20 and not der_fills(b[at : at + n], depth + 1)) or (tag == 2 and n == 0):
-            return False
-        at += n
-    return True
+def der_value(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start of the content, its end) of the DER value at `at`, if its length has the shortest form and stays before `end`."""
+    if end - at < 2:
+        return None
+    tag, n = b[at], b[at + 1]
+    at += 2
+    if n >= 0x80:
+        size = n & 0x7F
+        if not 1 <= size <= 4 or end - at < size:
+            return None
+        n = int.from_bytes(b[at : at + size], "big")
+        if n < 0x80 or (size > 1 and b[at] == 0):
+            return None
+        at += size
+    return (tag, at, at + n) if at + n <= end and not (tag == 2 and n == 0) else None
+
+
+def der_size(b: bytes, at: int = 0) -> int:
+    """Bytes of the key encoding at `at`: one SEQUENCE whose nested values fill it exactly, an INTEGER or a SEQUENCE first; 0 if there is none."""
+    top = der_value(b, at, len(b)) if b[at : at + 1] == b"\x30" else None
+    if top is None or top[2] - at < LEAST_DER or b[top[1] : top[1] + 1] not in (b"\x02", b"\x30"):
+        return 0
+    open_ends, here = [top[2]], top[1]
+    while open_ends:
+        if here == open_ends[-1]:
+            open_ends.pop()
+            continue
+        value = der_value(b, here, open_ends[-1])
+        if value is None:
+            return 0
+        tag, start, end = value
+        if tag & 0x20:  # constructed: its values are next
+            open_ends.append(end)
+            here = start
+        else:
+            here = end
+    return top[2] - at
 
 
 def der_key(b: bytes) -> bool:
-    """A key encoding: one SEQUENCE over all bytes, nested lengths sound, holding an INTEGER or a nested SEQUENCE first."""
-    return len(b) >= 24 and b[0] == 0x30 and der_fills(b) and _one_value(b) and b[2 + (b[1] & 0x7F if b[1] >= 0x80 else 0)] in (0x02, 0x30)
+    """Whether b is one key encoding, from its first byte to its last."""
+    return bool(b) and der_size(b) == len(b)
 
 
-def _one_value(b: bytes) -> bool:
-    size = b[1] & 0x7F if b[1] >= 0x80 else 0
-    n = int.from_bytes(b[2 : 2 + size], "big") if size else b[1]
-    return 2 + size + n == len(b)
+def ssh_size(get: Callable[[int], bytes | None]) -> int:
+    """Bytes of an SSH public key blob or OpenSSH private key, read field by field; 0 if it is none. get(n): its first n bytes, None if there are fewer."""
+    here = 0
 
+    def field() -> bytes | None:
+        nonlocal here
+        head = get(here + 4)
+        whole = head and get(here + 4 + int.from_bytes(head[here:], "big"))
+        out = None if whole is None else whole[here + 4 :]
+        here += 4 + len(out or b"")
+        return out
 
-def ssh_fields(b: bytes) -> list[bytes] | None:
-    """The length-prefixed fields that fill b exactly, or None."""
-    out, at = [], 0
-    while at < len(b):
-        if len(b) - at < 4:
-            return None
-        n = int.from_bytes(b[at : at + 4], "big")
-        at += 4
-        if len(b) - at < n:
-            return None
-        out.append(b[at : at + n])
-        at += n
-    return out
+    if get(len(_SSH_MAGIC)) == _SSH_MAGIC:
+        here = len(_SSH_MAGIC)
+        if any(field() is None for _ in range(3)):  # cipher, key derivation and its options
+            return 0
+        count = get(here + 4)
+        fields, here = 2 if count and count[here:] == b"\0\0\0\1" else 0, here + 4  # a public key, then the private part
+    else:
+        kind = field() or b""
+        fields = next((n for k, n in _SSH_FIELDS.items() if kind.startswith(k)), 0) if _SSH_TYPE.fullmatch(kind) else 0
+    return here if fields and all(field() for _ in range(fields)) else 0
 
 
 def ssh_key(b: bytes) -> bool:
-    """An SSH public key blob, or an OpenSSH private key file body."""
-    magic = b"openssh-key-v1\x00"
-    if b.startswith(magic):
-        rest = b[len(magic) :]
-        for _ in range(3):  # cipher, key derivation and its options
-            if len(rest) < 4 or len(rest) < 4 + (n := int.from_bytes(rest[:4], "big")):
-                return False
-            rest = rest[4 + n :]
-        return len(rest) > 4 and bool(ssh_fields(rest[4:]))
-    f = ssh_fields(b) if b[:2] == b"\0\0" else None
-    return bool(f) and len(f) >= 2 and re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)", f[0]) is not None
+    """Whether b is one SSH public key blob or OpenSSH private key, from its first byte to its last."""
+    return bool(b) and ssh_size(lambda n: b[:n] if n <= len(b) else None) == len(b)
 
 
 def _json_object(part: str) -> dict | None:
@@ -126,29 +149,108 @@ def _json_object(part: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans whose decoded structure confirms a key or signed token."""
-    out = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].replace("\\n", "\n").split("\n") if ":" not in x)
+def pem_spans(text: str) -> list[tuple[int, int, str]]:
+    """Private key armours: each end mark with the last begin mark of its label since the mark of an end before it."""
+    out, open_ = [], {}
+    for m in _PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            open_[m[2]] = m
+        elif (begin := open_.get(m[2])) is not None:
+            body = "".join(x for x in text[begin.end() : m.start()].replace("\\n", "\n").split("\n") if ":" not in x)
             b = unbase64(re.sub(r"\s+", "", body))
             if b and (der_key(b) or ssh_key(b)):
-                out.append((m.start(), m.end(), "pem"))
+                out.append((begin.start(), m.end(), "pem"))
+            open_ = {}
+    return out
+
+
+def object_at(s: str, at: int) -> tuple[dict, int] | None:
+    """The JSON object at `at` and its end. Ever longer parts are read, so that what is no object costs no more than where it fails."""
+    size, reader = 64, json.JSONDecoder()
+    while True:
+        part = s[at : at + size]
+        try:
+            got, end = reader.raw_decode(part)
+            return (got, at + end) if isinstance(got, dict) else None
+        except RecursionError:
+            return None
+        except json.JSONDecodeError as e:
+            if at + size >= len(s) or not (e.msg.startswith(("Unterminated", "Invalid \\")) or e.pos > size - 8):
+                return None
+        size *= 4
+
+
+def jwt_spans(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens. A head is looked for at every likely start of its run, which is decoded once for each of four alignments."""
+    out = []
+    for m in _JWT_HEAD.finditer(text):
+        rest = _JWT_REST.match(text, m.end())
+        if rest is None:
+            continue
+        decoded: dict[int, str] = {}
+        for start in (x.start() for x in _INSIDE.finditer(m[0])):
+            r = start % 4
+            if r not in decoded:
+                decoded[r] = (unbase64(m[0][r:]) or b"").decode("latin-1")
+            head = object_at(decoded[r], (start - r) // 4 * 3)
+            if head and head[1] == len(decoded[r]) and _json_object(m[0][start:]) is not None and isinstance(head[0].get("alg"), str):
+                if _json_object(rest[1]) is not None and unbase64(rest[2]):
+                    out.append((m.start() + start, rest.end(), "jwt"))
+                break
+    return out
+
+
+def unfolded(text: str, at: int, size: int) -> tuple[bytes, int] | None:
+    """The first `size` bytes of the base64 at `at`, which may be folded over lines, and where its last character ends."""
+    left, parts = -(-size * 4 // 3), []
+    while True:
+        run = _RUN.match(text, at, at + left)
+        parts.append(run[0] if run else "")
+        at, left = at + len(parts[-1]), left - len(parts[-1])
+        if not left:
+            break
+        fold = _FOLD.match(text, at) if run else None
+        if fold is None:
+            return None
+        at = fold.end()
+    got = unbase64("".join(parts))
+    return None if got is None else (got[:size], at)
+
+
+def base64_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64, on one line or folded, that begin after no letter or digit and end before none. Their own lengths say where."""
+    out, past = [], 0
+    for m in _BASE64_HEAD.finditer(text):
+        at = m.start()
+        if at < past or (head := unfolded(text, at, 21)) is None:
+            continue
+        size, kind = 0, "ssh"
+        if m[0][0] == "M":
+            kind, top = "der", der_value(head[0], 0, len(text))
+            if top and head[0][top[1]] in _FIRST and top[2] * 4 <= (len(text) - at) * 3:
+                whole = unfolded(text, at, top[2])
+                size = der_size(whole[0]) if whole else 0
+        else:
+            size = ssh_size(lambda n, at=at: (unfolded(text, at, n) or (None,))[0])
+        if size:
+            end = unfolded(text, at, size)[1]
+            pads = -(-(-size * 4 // 3)) % 4
+            while pads and text.startswith("=", end):
+                end, pads = end + 1, pads - 1
+            if end == len(text) or not (text[end].isascii() and text[end].isalnum()):
+                out.append((at, end, kind))
+                past = end
+    return out
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans whose decoded structure confirms a key or signed token."""
+    out = pem_spans(text) if "-----BEGIN " in text else []
     if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            head = _json_object(m[1])
-            if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None and unbase64(m[3]):
-                out.append((m.start(), m.end(), "jwt"))
-    for m in _BASE64.finditer(text):
-        b = unbase64(m[0])
-        if b and der_key(b):
-            out.append((m.start(), m.end(), "der"))
-        elif b and ssh_key(b):
-            out.append((m.start(), m.end(), "ssh"))
-    for m in _HEX_ANY.finditer(text):
-        if m[0][:2] == "30" and der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "der"))
+        out += jwt_spans(text)
+    armours = [x for x in out if x[2] == "pem"]
+    out += [x for x in base64_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in armours)]
+    out += [(m.start(), m.end(), "der") for m in _HEX_ANY.finditer(text) if der_key(bytes.fromhex(m[0]))]
     return list(dict.fromkeys(out))
 
 
