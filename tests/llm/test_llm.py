@@ -55,8 +55,8 @@ def dedup_brute(docs):
             continue
         keep = []
         for line in t.split("\n"):
-            if len(line) >= line_dedup.MIN_CHARS:
-                dup = any(line == s or one_edit(line, s) for s in seen)
+            if line:
+                dup = any(line == s or (min(len(line), len(s)) >= line_dedup.MIN_CHARS and one_edit(line, s)) for s in seen)
                 seen.append(line)
                 if dup:
                     continue
@@ -65,7 +65,7 @@ def dedup_brute(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 3])
+@pytest.mark.parametrize("hot", [64, 2])
 def test_line_dedup_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(4)
@@ -104,15 +104,14 @@ def test_line_dedup_threshold_grows_with_length(spark, monkeypatch):
     for i, t in docs:
         keep = []
         for x in t.split("\n"):
-            if len(x) < 16 or not any(distance(x, s) <= min(len(x), len(s)).bit_length() - 4 for s in seen if abs(len(x) - len(s)) < 6):
+            if not any(x == s or (min(len(x), len(s)) >= 16 and abs(len(x) - len(s)) < 6 and distance(x, s) <= min(len(x), len(s)).bit_length() - 4) for s in seen):
                 keep.append(x)
-            if len(x) >= 16:
-                seen.append(x)
+            seen.append(x)
         want[i] = "\n".join(keep)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for hot, splits in ((64, 3), (2, 1), (3, 3)):
+    for hot, worth in ((64, 16), (2, 1), (3, 2)):
         monkeypatch.setattr(line_dedup, "HOT", hot)
-        monkeypatch.setattr(line_dedup, "SPLITS", splits)
+        monkeypatch.setattr(line_dedup, "WORTH", worth)
         got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, lambda n: F.length(F.bin(n.cast("long"))) - 4).collect()}
         assert got == want, hot
 
