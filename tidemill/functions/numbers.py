@@ -74,14 +74,22 @@ def resplit_quantity_price(q: Column, price: Column, amount: Column) -> Column:
 
 
 def tr_format(c: Column, decimals: int = 2) -> Column:
-    """Dots between groups and a decimal comma."""
-    return F.translate(F.format_number(c, decimals), ",.", ".,")
+    """Dots between groups and a decimal comma; halves are rounded away from zero."""
+    return F.translate(F.format_number(F.round(c, decimals), decimals), ",.", ".,")
 
 
 def plain_format(c: Column) -> Column:
-    """A finite number as JavaScript writes it: no trailing zeros, no exponent below 1e21."""
-    whole = (F.abs(c) < 1e15) & (c == F.floor(c))
-    return F.when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
+    """A finite number as JavaScript writes it: no trailing zeros, no exponent from 1e-6 up to 1e21."""
+    c = c.cast("double")
+    size, shown = F.abs(c), c.cast("string")
+    # the shortest digits that tell the number, without their exponent
+    plain = lambda kind: F.regexp_replace(shown.cast(kind).cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(shown, r"\.0+$", "")
+    exponent = F.regexp_replace(F.regexp_replace(shown, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
+    return (
+        F.when(c == 0, "0").when(~F.contains(shown, F.lit("E")), short).when((size >= 1) & (size < 1e21), plain("decimal(38,16)"))
+        .when((size >= 1e-6) & (size < 1), plain("decimal(38,30)")).otherwise(exponent)
+    )
 
 
 def scaled_box(x: Column, size: Column, to: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +52,17 @@ def fold_key(c: Column) -> Column:
     return turkish_lower(js_trim(c))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters whose canonical decomposition begins with an ASCII letter, and those letters."""
+    parts = {chr(i): unicodedata.normalize("NFD", chr(i)) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(lo, hi)}
+    known = {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii()}
+    return "".join(known), "".join(known.values())
+
+
 def fold_header(c: Column) -> Column:
-    """Header text in lower-case ASCII; accents of common Latin letters are dropped."""
+    """Header text in lower case, Turkish letters as ASCII, accents of Latin letters and combining marks dropped."""
     t = F.translate(turkish_lower(js_trim(c)), *TURKISH)
-    return F.translate(t, "àáâãäåèéêëìíîïñòóôõùúûýÿ", "aaaaaaeeeeiiiinoooouuuyy")
+    return F.regexp_replace(F.translate(t, *_accents()), r"[\u0300-\u036F]", "")
 
 
 def fold_upper(c: Column) -> Column:
@@ -122,7 +131,7 @@ def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
 
 def line_after_label(text: Column, label: str) -> Column:
     """What follows a label, a colon or dash perhaps between, on its line: 3 to 240 characters."""
-    p = f"(?iu){label}\\s*[:\\-]?\\s*([^\\n]{{3,240}})"
+    p = f"(?i){label}\\s*[:\\-]?\\s*([^\\n]{{3,240}})"
     return F.when(F.regexp_like(text, F.lit(p)), js_trim(F.regexp_extract(text, p, 1)))
 
 
@@ -145,6 +154,21 @@ def placeholders_in(c: Column, names: list[str]) -> Column:
     return F.filter(F.array(*(F.lit("{" + n + "}") for n in names)), lambda p: F.contains(c, p))
 
 
+def clean_array(c: Column) -> Column:
+    """Elements as trimmed text, without empty ones; null is an empty array."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: js_trim(x.cast("string"))), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def joined(separator: str, *parts: Column) -> Column:
+    """Parts that are neither null nor empty, with a separator between."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: F.coalesce(x, F.lit("")) != ""), separator)
+
+
+def at_path(c: Column, path: str) -> Column:
+    """A dotted path into JSON text; null where a step is missing or no object."""
+    return F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path.split(".")))
+
+
 def part_of(c: Column, separator: str, number: int) -> Column:
     return F.trim(F.split_part(c, F.lit(separator), F.lit(number)))
 

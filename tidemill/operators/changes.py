@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ def bulk_insert(stored: DataFrame, new: DataFrame, key: Column) -> tuple[DataFra
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Columns of the patch over those of the base where the patch has a value."""
+    """Columns of the patch over those of the base where the patch has a value. Of patch rows that repeat a key, each column takes the greatest value."""
     cols = [c for c in patch.columns if c != key]
-    p = patch.select(key, *(F.col(c).alias(f"_p_{c}") for c in cols))
+    p = patch.groupBy(key).agg(*(F.max(c).alias(f"_p_{c}") for c in cols))
     return base.join(p, key, "left").select(*(F.coalesce(f"_p_{c}", c).alias(c) if c in cols else F.col(c) for c in base.columns))
 
 
@@ -55,6 +57,11 @@ def merged_by_confidence(base: DataFrame, other: DataFrame, key: list[str], conf
     return both.select(*key, *(F.when(take, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns if c not in key))
 
 
+def appended(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, by column name; columns that a part lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def list_upsert(items: Column, new: Column, field: str) -> Column:
     """An array of structs with `new` in place of the element of the same field, or at the end."""
     there = F.exists(items, lambda x: x[field] == new[field])

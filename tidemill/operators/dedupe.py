@@ -8,14 +8,19 @@ from pyspark.sql.window import Window
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None, stored_key: Column | None = None) -> DataFrame:
-    """Rows with `outcome`: existing (its key is stored), duplicate (an earlier row has it), or sent. The stored check comes first."""
-    rows = df.withColumn("_k", key)
+    """Rows with `outcome`: existing (its key is stored), duplicate (an earlier row has it), or sent. The stored check comes first.
+
+    A row whose key is null equals no other, so it is sent. The earliest row of a key is found by an aggregation, not by a window
+    over all rows of the key. Rows that are alike in key and order are all first.
+    """
+    rows = df.withColumn("_k", key).withColumn("_at", F.struct(*order))
     if stored is not None:
         rows = rows.join(stored.select(stored_key.alias("_k")).distinct().withColumn("_stored", F.lit(True)), "_k", "left")
     else:
         rows = rows.withColumn("_stored", F.lit(None).cast("boolean"))
-    n = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
-    return rows.withColumn("outcome", F.when(F.col("_stored"), "existing").when(n > 1, "duplicate").otherwise("sent")).drop("_k", "_stored")
+    rows = rows.join(rows.where("_k is not null").groupBy("_k").agg(F.min("_at").alias("_first")), "_k", "left")
+    late = F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))
+    return rows.withColumn("outcome", F.when(F.col("_stored"), "existing").when(late, "duplicate").otherwise("sent")).drop("_k", "_stored", "_at", "_first")
 
 
 def outcome_counts(df: DataFrame) -> DataFrame:
@@ -29,8 +34,16 @@ def violations(df: DataFrame, key: list[Column]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def reference_numbers(new: DataFrame, stored: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """New rows with `number`: how many stored rows their group has, plus their place among the new ones."""
+def reference_numbers(new: DataFrame, stored: DataFrame, group: list[str], order: list[Column], step: Column) -> DataFrame:
+    """New rows with `number`: how many stored rows their group has, plus their place among the new ones.
+
+    Groups are few and large, so rows are numbered within steps, and moved on by what the steps before hold of their group: one count
+    for each group and step is all that a single task sees. `step` is a coarse value that never falls along the order, such as a day.
+    """
     counts = stored.groupBy(*group).agg(F.count("*").alias("_had"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return new.withColumn("_place", place).join(counts, group, "left").withColumn("number", F.coalesce("_had", F.lit(0)) + F.col("_place")).drop("_had", "_place")
+    rows = new.withColumn("_step", step)
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
+    steps = rows.groupBy(*group, "_step").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_step").orderBy(*order)))
+    numbered = rows.join(steps, [*group, "_step"]).join(counts, group, "left")
+    return numbered.withColumn("number", F.coalesce("_had", F.lit(0)) + F.col("_before") + F.col("_place")).drop("_had", "_place", "_before", "_step")

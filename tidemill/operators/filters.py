@@ -65,6 +65,25 @@ def contains_or_all(c: Column, value: str, universe: list[str]) -> Column:
     return F.array_contains(c, value) | has_all(c, universe)
 
 
+def status_in(c: Column, wanted: str, sets: dict[str, list[str]]) -> Column:
+    """The status is in the set of the wanted filter; a filter without a set takes all."""
+    return c.isin(*sets[wanted]) if wanted in sets else F.lit(True)
+
+
+def active_role(role: Column, status: Column, wanted: str | None = None, active: str = "Aktif") -> Column:
+    """Active users, of one role if it is given."""
+    return every(status == active, role == wanted if wanted else None)
+
+
+def on_page(page: Column, wanted: int) -> Column:
+    return page == wanted
+
+
+def has_conflict(mappings: Column, conflict: str = "uyumsuz") -> Column:
+    """Whether any mapping (structs with a status) of a declaration conflicts."""
+    return F.exists(mappings, lambda m: m["status"] == conflict)
+
+
 def not_empty(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) > 0
 

@@ -64,10 +64,9 @@ def nearest_other(df: DataFrame, group: list[str], at: str, ident: str) -> DataF
     first_here = F.first(ident).over(same)
     cand = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s[at] - F.col(at)).alias("gap"), s[at].alias("place"), s[ident].alias("other")))
     out = df.withColumn("_first", first_here).withColumn("_b", before).withColumn("_a", after)
+    # the greatest place before this one, and of that the first id
     w_place = Window.partitionBy(*group).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_p", F.max(at).over(w_place))
-    firsts = df.groupBy(*group, F.col(at).alias("_p")).agg(F.min(ident).alias("_pid"))
-    out = out.join(firsts, [*group, "_p"], "left")
+    out = out.withColumn("_p", F.max(F.struct(F.col(at), F.col("_first"))).over(w_place)).withColumn("_pid", F.col("_p._first")).withColumn("_p", F.col("_p")[at])
     here = F.when(F.col("_first") != F.col(ident), F.struct(F.lit(0).cast("long").alias("gap"), F.col(at).alias("place"), F.col("_first").alias("other"))).when(F.col("_a")[at] == F.col(at), cand(F.col("_a")))
     earlier = F.when(F.col("_p").isNotNull(), F.struct((F.col(at) - F.col("_p")).alias("gap"), F.col("_p").alias("place"), F.col("_pid").alias("other")))
     out = out.withColumn("_best", F.coalesce(here, F.least(earlier, cand(F.col("_a")))))

@@ -47,3 +47,21 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column]) -> Dat
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "line_no") -> DataFrame:
     """Ordinal numbers from 1 within each group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+
+
+def neighbours(df: DataFrame, group: list[str], order: list[Column], value: str) -> DataFrame:
+    """Adds before and after: the value of the row before and of the row after in the group's order."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("before", F.lag(value).over(w)).withColumn("after", F.lead(value).over(w))
+
+
+def around(df: DataFrame, group: list[str], order: list[Column], measures: dict[str, Column], reach: int = 3) -> DataFrame:
+    """Adds aggregates over the rows at most `reach` places away in the group's order."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-reach, reach)
+    return df.withColumns({n: c.over(w) for n, c in measures.items()})
+
+
+def before_first(df: DataFrame, group: list[str], order: list[Column], stop: Column) -> DataFrame:
+    """Rows of each group before the first that stops it."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_stopped", F.max(F.coalesce(stop, F.lit(False)).cast("int")).over(w)).where("_stopped = 0").drop("_stopped")

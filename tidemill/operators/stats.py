@@ -29,6 +29,33 @@ def distinct_over_arrays(df: DataFrame, items: str, active: Column) -> DataFrame
     return heads.crossJoin(df.select(F.explode(items).alias("x")).distinct().agg(F.count("*").alias("distinct_items")))
 
 
+def group_count(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias(name))
+
+
+def count_where(df: DataFrame, where: Column, name: str = "n") -> DataFrame:
+    """One row: how many rows meet a condition, which reaches the scan."""
+    return df.where(where).agg(F.count("*").alias(name))
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values in order of their code units."""
+    return df.select(column).distinct().orderBy(column)
+
+
+def extremes(df: DataFrame, by: list[str], value: str, least: int = 4, where: Column | None = None) -> DataFrame:
+    """low, high and high_if (the greatest value where the condition holds) of groups with enough rows."""
+    v = F.col(value)
+    g = df.groupBy(*by).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.max(F.when(where if where is not None else F.lit(True), v)).alias("high_if"), F.count("*").alias("_n"))
+    return g.where(F.col("_n") >= least).drop("_n")
+
+
+def template_stats(df: DataFrame, active: Column, step: str) -> DataFrame:
+    """total, active, passive and the number of distinct steps."""
+    on = F.coalesce(active, F.lit(False))
+    return df.agg(F.count("*").alias("total"), F.count_if(on).alias("active"), F.count_if(~on).alias("passive"), F.count_distinct(step).alias("steps"))
+
+
 def bounding_box(points: Column) -> Column:
     """struct(x0, y0, x1, y1) of an array of points."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -59,6 +59,13 @@ def capabilities(screens: DataFrame, registry: DataFrame) -> DataFrame:
     return full.unionByName(screens.where("level = 'view'").join(seen, "screen").select("user_id", "capability")).distinct()
 
 
+def approval_levels(declarations: DataFrame, rules: DataFrame, kind: str = "operationType") -> DataFrame:
+    """Declarations with `level` (1 or 2): what their company's rule row says of their type; 1 without a rule."""
+    of = F.create_map(*(x for t in TRANSACTION_TYPES for x in (F.lit(t), F.col(t))))
+    table = rules.select("companyId", of.alias("_levels"))
+    return declarations.join(table, "companyId", "left").withColumn("level", F.coalesce(F.element_at("_levels", F.col(kind)), F.lit(1))).drop("_levels")
+
+
 def licence_valid(start: Column, end: Column, as_of: Column) -> Column:
     """Inside the window, five minutes of clock skew allowed on both ends."""
     skew = F.expr("interval 5 minutes")

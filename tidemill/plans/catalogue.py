@@ -49,7 +49,7 @@ def customer_order_counts(t):
 
 @query("""SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1""")
 def group_count(t):
-    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy("o_custkey")
+    return stats.group_count(t("orders"), ["o_custkey"]).orderBy("o_custkey")
 
 
 @query("""SELECT o_orderkey, o_orderdate, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7
@@ -181,7 +181,7 @@ SELECT o_orderkey, n.o_orderstatus || '-' || year(o_orderdate) || '-' || CASE WH
 FROM n LEFT JOIN h ON h.o_orderstatus = n.o_orderstatus AND h.y = year(n.o_orderdate)""")
 def reference_numbers(t):
     o = t("orders").withColumn("year", F.year("o_orderdate"))
-    n = dedupe.reference_numbers(o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 2 = 0"), ["o_orderstatus", "year"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    n = dedupe.reference_numbers(o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 2 = 0"), ["o_orderstatus", "year"], [F.col("o_orderdate"), F.col("o_orderkey")], F.to_date("o_orderdate"))
     return n.select("o_orderkey", text.padded_ref(F.col("o_orderstatus"), F.col("year"), F.col("number")).alias("ref"))
 
 
@@ -193,27 +193,19 @@ def ordinal_lines(t):
 @query("""SELECT event_id, round(avg(value) OVER w, 6) AS mean, count(*) FILTER (event_type = 'error') OVER w AS errors FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
 def sliding_pm3(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)
-    return t("events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.count(F.when(F.col("event_type") == "error", 1)).over(w).alias("errors"))
+    rows = scans.around(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], {"mean": F.avg("value"), "errors": F.count(F.when(F.col("event_type") == "error", 1))})
+    return rows.select("event_id", F.round("mean", 6).alias("mean"), "errors")
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM events) WHERE stopped = 0""")
 def take_while(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").withColumn("stopped", F.max((F.col("event_type") == "error").cast("int")).over(w)).where("stopped = 0").select("event_id", "user_id")
+    return scans.before_first(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error").select("event_id", "user_id")
 
 
 @query("""SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def neighbour_lines(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("event_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    return scans.neighbours(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type").select("event_id", "before", "after")
 
 
 @query("""SELECT a.event_id, b.event_id AS other_id, epoch_us(b.ts) - epoch_us(a.ts) AS gap FROM events a JOIN events b
@@ -254,8 +246,7 @@ def median_centre(t):
 
 @query("""SELECT l_orderkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, max(l_extendedprice) FILTER (l_returnflag = 'R') AS high_r FROM lineitem GROUP BY 1 HAVING count(*) >= 4""")
 def extremes(t):
-    g = t("lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("high_r"), F.count("*").alias("n"))
-    return g.where("n >= 4").drop("n")
+    return stats.extremes(t("lineitem"), ["l_orderkey"], "l_extendedprice", 4, F.col("l_returnflag") == "R").withColumnRenamed("high_if", "high_r")
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (date_trunc('month', o_orderdate) = TIMESTAMP '1998-03-01') AS this_month,
@@ -275,10 +266,10 @@ def array_distinct_count(t):
 
 @query("""SELECT DISTINCT p_brand FROM part ORDER BY 1""")
 def distinct_sorted(t):
-    return t("part").select("p_brand").distinct().orderBy("p_brand")
+    return stats.distinct_sorted(t("part"), "p_brand")
 
 
-RULES = {"value": "purchase click view"}
+RULES = {"value": ["purchase", "click", "view"]}
 
 
 @query("""WITH e AS (SELECT user_id, event_type AS source, event_id AS pos, CAST(value AS VARCHAR) AS value, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS p FROM events),
@@ -320,14 +311,27 @@ def gtip_runs(t):
     return t("documents").select("doc_id", F.explode(extract_spatial.tariff_codes(F.col("text"))).alias("c")).select("doc_id", "c.gtip", "c.needs_review", "c.method")
 
 
-@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(f, '\b(EUR|USD|TRY|GBP|CHF|JPY|CNY)\b') THEN regexp_extract(f, '\b(EUR|USD|TRY|GBP|CHF|JPY|CNY)\b', 1) END AS currency,
-CASE WHEN regexp_matches(f, '(?i)\b(EXW|FOB|FCA|FAS|CFR|CIF|CPT|CIP|DAP|DPU|DDP)\b') THEN upper(regexp_extract(f, '(?i)\b(EXW|FOB|FCA|FAS|CFR|CIF|CPT|CIP|DAP|DPU|DDP)\b', 1)) END AS delivery_term,
-CASE WHEN regexp_matches(f, '\b(20\d{2}-\d{2}-\d{2})\b') THEN regexp_extract(f, '\b(20\d{2}-\d{2}-\d{2})\b', 1)
- WHEN regexp_matches(f, '\b(\d{2})[./-](\d{2})[./-](\d{4})\b') THEN regexp_extract(f, '\b\d{2}[./-]\d{2}[./-](\d{4})\b', 1) || '-' || regexp_extract(f, '\b\d{2}[./-](\d{2})[./-]\d{4}\b', 1) || '-' || regexp_extract(f, '\b(\d{2})[./-]\d{2}[./-]\d{4}\b', 1) END AS invoice_date FROM f""")
+_D = r"CASE WHEN regexp_matches(f, '{0}') THEN regexp_extract(f, '{0}', 1) END"
+_NUM = "CASE WHEN strpos(reverse({0}), ',') > 0 AND (strpos(reverse({0}), '.') = 0 OR strpos(reverse({0}), ',') < strpos(reverse({0}), '.')) THEN TRY_CAST(regexp_replace(replace({0}, '.', ''), '^([^,]*),', '\\1.') AS DOUBLE) ELSE TRY_CAST(replace({0}, ',', '') AS DOUBLE) END"
+_HEAD = {
+    "no1": r"(?i)(?:Fatura\s*No|Invoice\s*No\.?|Fatura\s*Numaras[ıi]|Invoice\s*Number|FATURA\s*NO)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/]{3,40})", "no2": r"(?i)\b(CLK[0-9A-Z\-]{6,32})\b", "no3": r"\b([A-Z]{2,5}\d{8,18})\b",
+    "iso": r"\b(20\d{2}-\d{2}-\d{2})\b", "d1": r"(?i)(?:Fatura\s*Tarihi|Invoice\s*Date|Date\s*of\s*Invoice)\s*[:\-]?\s*(\d{2}[./-]\d{2}[./-]\d{4})", "d2": r"\b(\d{2}[./-]\d{2}[./-]\d{4})\b",
+    "cur": r"\b(EUR|USD|TRY|GBP|CHF|JPY|CNY)\b", "t1": r"(?i)Mal\s*Hizmet\s*Toplam\s*Tutar[ıi]?\s*([\d.]+,\d{2})\s*(?:EUR|USD|TRY)?", "t2": r"(?i)(?:Genel\s*Toplam|Grand\s*Total|Toplam\s*Tutar|Ödenecek\s*Tutar)\s*[:\-]?\s*([\d.]+,\d{2}|\d+[.,]\d{2})",
+    "term": r"(?i)\b(EXW|FOB|FCA|FAS|CFR|CIF|CPT|CIP|DAP|DPU|DDP)\b", "p1": r"(?i)ÖDEME\s*ŞEKLİ\s*:\s*([^-\n]{2,80}?)(?:\s*-|\s*$)", "p2": r"(?i)(?:Ödeme\s*Şekli|Payment\s*Terms?|Payment\s*Type)\s*[:\-]?\s*([^-\n]{3,80})",
+    "o1": r"(?i)MALLARIMIZ\s+([^.]+)\.", "o2": r"(?i)(?:Menşe|Origin|Country\s*of\s*origin)\s*[:\-]?\s*([A-Za-zğüşöçıİĞÜŞÖÇ\s]{3,80})",
+    "m1": r"(?i)(?:Taşıma|Gönderilme|Transport)\s*(?:Şekli|Mode|Type)?\s*[:\-]?\s*(Karayolu|Denizyolu|Havayolu|Demiryolu|Multimodal)", "m2": r"\b(Karayolu|Denizyolu|Havayolu|Demiryolu)\b",
+    "k1": r"(?i)TOPLAM\s*KAP\s*:\s*(\d+)", "k2": r"(?i)(?:Kap\s*Adedi|Toplam\s*Kap|Total\s*Packages?|No\.?\s*of\s*Packages?)\s*[:\-]?\s*(\d+)", "kt": r"(?i)TOPLAM\s*KAP\s*:\s*\d+\s*([A-ZÇĞİÖŞÜa-zçğıöşü]+)",
+    "g1": r"(?i)BRÜT\s*KG\s*:\s*([\d.,]+)", "g2": r"(?i)(?:Brüt|Gross)\s*(?:Ağırlık|Weight|KG|kg)?\s*[:\-]?\s*([\d.,]+)", "n1": r"(?i)NET\s*KG\s*:\s*([\d.,]+)", "n2": r"(?i)(?:Net|Net\s*Ağırlık|Net\s*Weight)\s*[:\-]?\s*([\d.,]+)",
+}
+
+
+@query("WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents), m AS (SELECT doc_id, " + ", ".join(f"{_D.format(p)} AS {n}" for n, p in _HEAD.items()) + """ FROM f),
+x AS (SELECT *, coalesce(t1, t2) AS t, coalesce(g1, g2) AS g, coalesce(n1, n2) AS n, coalesce(d1, d2) AS d FROM m)
+SELECT doc_id, coalesce(no1, no2, no3) AS invoice_no, coalesce(iso, d[7:10] || '-' || d[4:5] || '-' || d[1:2]) AS invoice_date, cur AS currency, """ + _NUM.format("t") + """ AS total_amount, upper(term) AS delivery_term,
+left(trim(regexp_replace(coalesce(p1, p2), '[-_]{3,}', '', 'g')), 120) AS payment_type, left(trim(coalesce(o1, o2)), 120) AS origin, coalesce(m1, m2) AS transport_mode, CAST(coalesce(k1, k2) AS DOUBLE) AS total_package, left(kt, 40) AS package_type, """ + _NUM.format("g") + " AS gross_kg, " + _NUM.format("n") + " AS net_kg FROM x")
 def text_fields(t):
-    f = extract_text.header_fields(F.col("flat"))
-    return t("documents").select("doc_id", text.js_trim(text.collapse(F.col("text"))).alias("flat")).select("doc_id", *(f[c].alias(c) for c in ("currency", "delivery_term", "invoice_date")))
+    flat = t("documents").select("doc_id", text.js_trim(text.collapse(F.col("text"))).alias("flat"))
+    return extract_text.with_header_fields(flat, "flat").drop("flat")
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_replace(list_extract(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), -1), '[,;:.]+$', '') AS w FROM documents)
@@ -382,7 +386,7 @@ def merge_confidence(t):
 @query("""SELECT event_id, value FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, value FROM events WHERE event_type = 'purchase'""")
 def append_union(t):
     e = t("events")
-    return e.where("event_type = 'error'").unionByName(e.where("event_type = 'purchase'")).select("event_id", "value")
+    return changes.appended(e.where("event_type = 'error'"), e.where("event_type = 'purchase'")).select("event_id", "value")
 
 
 @query("""SELECT c_custkey, c_name, coalesce(p.bal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS bal FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) p ON o_custkey = c_custkey""")

@@ -26,19 +26,20 @@ DATES = [r"(?i)(?:Fatura\s*Tarihi|Invoice\s*Date|Date\s*of\s*Invoice)\s*[:\-]?\s
 CURRENCY = rf"{_L}(EUR|USD|TRY|GBP|CHF|JPY|CNY){_R}"
 TOTALS = [r"(?i)Mal\s*Hizmet\s*Toplam\s*Tutar[ıi]?\s*([\d.]+,\d{2})\s*(?:EUR|USD|TRY)?", r"(?i)(?:Genel\s*Toplam|Grand\s*Total|Toplam\s*Tutar|[Öö]denecek\s*Tutar)\s*[:\-]?\s*([\d.]+,\d{2}|\d+[.,]\d{2})"]
 TERM = rf"(?i){_L}(EXW|FOB|FCA|FAS|CFR|CIF|CPT|CIP|DAP|DPU|DDP){_R}"
-PAYMENT = [r"(?i)[Öö]DEME\s*[Şş]EKL[İIi]\s*:\s*([^-\n]{2,80}?)(?=\s*-|\s*$)", r"(?i)(?:[Öö]deme\s*[Şş]ekli|Payment\s*Terms?|Payment\s*Type)\s*[:\-]?\s*([^-\n]{3,80})"]
+PAYMENT = [r"(?i)[Öö]DEME\s*[Şş]EKLİ\s*:\s*([^-\n]{2,80}?)(?=\s*-|\s*$)", r"(?i)(?:[Öö]deme\s*[Şş]ekli|Payment\s*Terms?|Payment\s*Type)\s*[:\-]?\s*([^-\n]{3,80})"]
 ORIGIN = [r"(?i)MALLARIMIZ\s+([^.]+)\.", r"(?i)(?:Men[şŞ]e|Origin|Country\s*of\s*origin)\s*[:\-]?\s*([A-Za-zğüşöçıİĞÜŞÖÇ\s]{3,80})"]
-MODES = [r"(?i)(?:Ta[şŞ][ıI]ma|G[öÖ]nderilme|Transport)\s*(?:[Şş]ekli|Mode|Type)?\s*[:\-]?\s*(Karayolu|Denizyolu|Havayolu|Demiryolu|Multimodal)", rf"{_L}(Karayolu|Denizyolu|Havayolu|Demiryolu){_R}"]
+MODES = [r"(?i)(?:Ta[şŞ]ıma|G[öÖ]nderilme|Transport)\s*(?:[Şş]ekli|Mode|Type)?\s*[:\-]?\s*(Karayolu|Denizyolu|Havayolu|Demiryolu|Multimodal)", rf"{_L}(Karayolu|Denizyolu|Havayolu|Demiryolu){_R}"]
 PACKAGES = r"(?i)TOPLAM\s*KAP\s*:\s*(\d+)\s*([A-ZÇĞİÖŞÜa-zçğıöşü]+)?"
 PACKAGE_COUNT = r"(?i)(?:Kap\s*Adedi|Toplam\s*Kap|Total\s*Packages?|No\.?\s*of\s*Packages?)\s*[:\-]?\s*(\d+)"
-GROSS = [r"(?i)BR[Üü]T\s*KG\s*:\s*([\d.,]+)", r"(?i)(?:Br[üÜ]t|Gross)\s*(?:A[ğĞ][ıI]rl[ıI]k|Weight|KG|kg)?\s*[:\-]?\s*([\d.,]+)"]
-NET = [r"(?i)NET\s*KG\s*:\s*([\d.,]+)", r"(?i)(?:Net|Net\s*A[ğĞ][ıI]rl[ıI]k|Net\s*Weight)\s*[:\-]?\s*([\d.,]+)"]
-SELLER_LABELS, BUYER_LABELS = "(?:Satıcı|Seller|Vendor|Tedarikçi|Gönderen)", "(?:Alıcı|Buyer|Customer|Müşteri|Consignee)"
+GROSS = [r"(?i)BR[Üü]T\s*KG\s*:\s*([\d.,]+)", r"(?i)(?:Br[üÜ]t|Gross)\s*(?:A[ğĞ]ırlık|Weight|KG|kg)?\s*[:\-]?\s*([\d.,]+)"]
+NET = [r"(?i)NET\s*KG\s*:\s*([\d.,]+)", r"(?i)(?:Net|Net\s*A[ğĞ]ırlık|Net\s*Weight)\s*[:\-]?\s*([\d.,]+)"]
+SELLER_LABELS, BUYER_LABELS = "(?:Satıcı|Seller|Vendor|Tedarik[çÇ]i|G[öÖ]nderen)", "(?:Alıcı|Buyer|Customer|M[üÜ][şŞ]teri|Consignee)"
+FLAT_SELLER_LABELS, FLAT_BUYER_LABELS = "(?:Satıcı|Seller|Vendor)", "(?:Alıcı|Buyer|Customer)"
 BUYER_END = r"(?i)^(?:[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}$|ETTN\s*:|[Öö]zelle[şŞ]tirme\s*No|Senaryo\s*:|Fatura\s*T[üÜ]r[üÜ])"
-SELLER_END = rf"(?i)^e\s*-?\s*fatura|{_L}e\s*-?\s*fatura{_R}|^ETTN\s*:|^S[ıI]ra\s*$"
-ADDRESS_END = r"(?i)^(?:Tel|Fax|Web\s*Sitesi|E-Posta|Vergi\s*Dairesi|VKN|T[İi]CARES[İi]C[İi]LNO|T[İi]CARETS[İi]C[İi]LNO|TICARETSICILNO|MERS[Iİi]SNO)\s*:"
+SELLER_END = rf"(?i)^e\s*-?\s*fatura|{_L}e\s*-?\s*fatura{_R}|^ETTN\s*:|^Sıra\s*$"
+ADDRESS_END = r"(?i)^(?:Tel|Fax|Web\s*Sitesi|E-Posta|Vergi\s*Dairesi|VKN|TİCARESİCİLNO|TİCARETSİCİLNO|TICARETSICILNO|MERSISNO|MERSİSNO)\s*:"
 NOISE = r"(?i)^(?:e\s*-?\s*fatura|T\.C\.\s*.*(?:Hazine|Maliye|Gelir)|TASLAK$)"
-TAX_NO = [rf"(?i){_L}VKN\s*[:：.]\s*(\d{{10,11}}){_R}", rf"(?i){_L}VKN\s+(\d{{10,11}}){_R}"]
+TAX_NO = [rf"(?i){_L}VKN\s*[:：]\s*(\d{{10,11}}){_R}", rf"(?i){_L}VKN\s*[.:]\s*(\d{{10,11}}){_R}", rf"(?i){_L}VKN\s+(\d{{10,11}}){_R}"]
 GOODS_BLOCK = rf"\n(\d{{1,3}})\n((?:(?!{_L}Karayolu\s+\d{{12}}{_R})[\s\S])*?){_L}Karayolu\s+(\d{{12}}){_R}"
 UNITS = "KGM KG NIU C62 SET PCS PCE ADET MTR LTR".split()
 MOST_GOODS_LINES = 80
@@ -71,7 +72,7 @@ def with_party(df: DataFrame, raw: str, out: str) -> DataFrame:
     df = df.withColumn(f"_{out}_rest", _cut(rows, F.lit(1), F.size(rows))).withColumn(f"_{out}_body", F.translate(F.array_join(rows, "\n"), "\u00a0\u2007", "  "))
     df = df.withColumn(f"_{out}_upto", _cut(rest, F.lit(0), F.coalesce(_first(rest, lambda x: _like(x, ADDRESS_END)), F.size(rest))))
     tax = F.coalesce(*(F.when(_like(body, p), F.regexp_extract(body, p, 1)) for p in TAX_NO))
-    name = F.substring(js_trim(collapse(F.regexp_replace(F.get(rows, F.lit(0)), r"(?i)^Firma\s*Ad[ıI]\s*:\s*(?=\S)", ""))), 1, 240)
+    name = F.substring(js_trim(collapse(F.regexp_replace(F.get(rows, F.lit(0)), r"(?i)^Firma\s*Adı\s*:\s*(?=\S)", ""))), 1, 240)
     parts = F.filter(F.transform(upto, lambda x: js_trim(F.regexp_replace(x, r"(?i)^Adres\s*:\s*", ""))), lambda x: x != "")
     address = F.substring(js_trim(F.regexp_replace(F.array_join(parts, " "), f"{JS_SPACE}{{2,}}", " ")), 1, 500)
     return df.withColumn(out, F.struct(F.nullif(name, F.lit("")).alias("name"), F.nullif(address, F.lit("")).alias("address"), tax.alias("tax_no")))
@@ -89,41 +90,46 @@ def parties(df: DataFrame, text: str = "text") -> DataFrame:
     inline = F.regexp_extract(js_trim(F.get(lines, at)), r"(?i)^SAYIN\s+(.+)$", 1)
     buyer = _cut(after, F.lit(0), F.coalesce(ends(after), F.size(after)))
     out = out.withColumn("_buyer", F.concat(F.when(inline != "", F.array(inline)).otherwise(none), buyer))
-    mark = F.coalesce(_first(tail, lambda x: _like(x, r"(?i)^\s*[İi]rsaliye\s*Tarihi\s*:")), _first(tail, lambda x: _like(x, r"(?i)^\s*Fatura\s*Tarihi\s*:")))
+    mark = F.coalesce(_first(tail, lambda x: _like(x, r"(?i)^\s*İrsaliye\s*Tarihi\s*:")), _first(tail, lambda x: _like(x, r"(?i)^\s*Fatura\s*Tarihi\s*:")))
     out = out.withColumn("_mark", mark).withColumn("_late", _cut(tail, F.col("_mark") + 1, F.size(tail)))
     out = out.withColumn("_late", _cut(late, F.lit(0), F.coalesce(_first(late, lambda x: _like(js_trim(x), SELLER_END)), F.size(late))))
     out = out.withColumn("_seller", F.when(at > 0, _cut(lines, F.lit(0), at)).otherwise(F.coalesce(late, none)))
     out = with_party(with_party(out, "_seller", "s"), "_buyer", "b")
-    label = lambda names: F.substring(F.regexp_replace(line_after_label(F.col(text), names), r"\s{2,}", " "), 1, 240)
+    out = out.withColumn("_flat_text", js_trim(collapse(F.col(text))))
+    label = lambda names, flat: F.substring(F.regexp_replace(F.coalesce(line_after_label(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), names), line_after_label(F.col("_flat_text"), flat)), r"\s{2,}", " "), 1, 240)
     known = lambda c: F.when(at.isNotNull(), F.col(c))
-    named = lambda s, names: F.struct(F.coalesce(known(s)["name"], label(names)).alias("name"), known(s)["address"].alias("address"), known(s)["tax_no"].alias("tax_no"))
-    out = out.select(*keep, named("s", SELLER_LABELS).alias("seller"), named("b", BUYER_LABELS).alias("buyer"))
+    named = lambda s, names, flat: F.struct(F.coalesce(known(s)["name"], label(names, flat)).alias("name"), known(s)["address"].alias("address"), known(s)["tax_no"].alias("tax_no"))
+    out = out.select(*keep, named("s", SELLER_LABELS, FLAT_SELLER_LABELS).alias("seller"), named("b", BUYER_LABELS, FLAT_BUYER_LABELS).alias("buyer"))
     return out.withColumn("buyer_country", country_of_address(F.col("buyer")["address"]))
 
 
-def header_fields(flat: Column) -> dict[str, Column]:
-    """Columns of the head, trade, transport and package fields, from the text in one line (a column that is made already).
+def with_header_fields(df: DataFrame, flat: str) -> DataFrame:
+    """Adds the head, trade, transport and package fields, from the text in one line (a column).
 
-    The first ISO date anywhere comes before labelled dates.
+    The first ISO date anywhere comes before labelled dates. Matches that are used more than once are columns of their own first.
     """
+    c = F.col(flat)
     # no group of a match is empty, so one search tells both whether and what
-    one = lambda p, g=1: F.nullif(F.regexp_extract(flat, p, g), F.lit(""))
+    one = lambda p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
     first = lambda patterns: F.coalesce(*map(one, patterns))
     short = lambda c, n: F.substring(js_trim(c), 1, n)
-    return {
+    again = {"_date": first(DATES), "_total": first(TOTALS), "_gross": first(GROSS), "_net": first(NET)}
+    df = df.withColumns(again)
+    fields = {
         "invoice_no": js_trim(first(INVOICE_NO)),
-        "invoice_date": F.coalesce(one(ISO_DATE), text_to_iso(first(DATES))),
+        "invoice_date": F.coalesce(one(ISO_DATE), text_to_iso(F.col("_date"))),
         "currency": one(CURRENCY),
-        "total_amount": last_separator_amount(first(TOTALS)),
+        "total_amount": last_separator_amount(F.col("_total")),
         "delivery_term": F.upper(one(TERM)),
         "payment_type": short(F.regexp_replace(first(PAYMENT), "[-_]{3,}", ""), 120),
         "origin": short(first(ORIGIN), 120),
         "transport_mode": first(MODES),
         "total_package": first([PACKAGES, PACKAGE_COUNT]).try_cast("double"),
         "package_type": F.substring(one(PACKAGES, 2), 1, 40),
-        "gross_kg": last_separator_amount(first(GROSS)),
-        "net_kg": last_separator_amount(first(NET)),
+        "gross_kg": last_separator_amount(F.col("_gross")),
+        "net_kg": last_separator_amount(F.col("_net")),
     }
+    return df.withColumns(fields).drop(*again)
 
 
 def _goods(line_no: Column, hs: Column, description: Column, qty: Column, unit: Column, price: Column, total: Column) -> Column:
@@ -187,6 +193,6 @@ def extract_invoices(df: DataFrame, text: str = "text") -> DataFrame:
     A null text gives null fields. Columns that begin with an underscore are used inside.
     """
     out = parties(df, text).withColumn("_flat", js_trim(collapse(F.col(text)))).withColumn("_text", F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
-    out = out.withColumns(header_fields(F.col("_flat")))
+    out = with_header_fields(out, "_flat")
     out = with_goods_rows(with_goods_blocks(out, "_text", "_blocks"), "_text", "_rows")
     return out.withColumn("goods", F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(F.col("_rows"))).drop("_flat", "_text", "_blocks", "_rows")

@@ -12,27 +12,28 @@ from pyspark.sql import functions as F
 from ..functions.text import country_of_address, is_empty
 
 # Source types by priority for each field, and for goods lines.
-_INVOICES = "INVOICE E_INVOICE_XML"
-_EXPORT = f"{_INVOICES} EXPORT_INVOICE"
-_TRADE = f"{_EXPORT} PROFORMA"
-_PACKING = f"{_EXPORT} PACKING_LIST"
-_NOTIFY = f"BILL_OF_LADING_INSTRUCTION EXPORT_INVOICE {_INVOICES}"
+_INVOICES = ["INVOICE", "E_INVOICE_XML"]
+_EXPORT = ["INVOICE", "E_INVOICE_XML", "EXPORT_INVOICE"]
+_TRADE = ["INVOICE", "E_INVOICE_XML", "EXPORT_INVOICE", "PROFORMA"]
+_PACKING = ["INVOICE", "E_INVOICE_XML", "EXPORT_INVOICE", "PACKING_LIST"]
+_NOTIFY = ["BILL_OF_LADING_INSTRUCTION", "EXPORT_INVOICE", "INVOICE", "E_INVOICE_XML"]
+_TRANSPORT = ["INVOICE", "E_INVOICE_XML", "EXPORT_INVOICE", "BILL_OF_LADING_INSTRUCTION"]
 PRIORITY = {
     "header.invoiceNo": _INVOICES, "header.invoiceDate": _INVOICES, "header.currency": _EXPORT, "header.totalAmount": _EXPORT,
     "parties.seller.name": _EXPORT, "parties.seller.taxNo": _EXPORT, "parties.seller.address": _EXPORT, "parties.seller.country": _EXPORT,
     "parties.buyer.name": _EXPORT, "parties.buyer.taxNo": _EXPORT, "parties.buyer.address": _EXPORT, "parties.buyer.country": _EXPORT,
     "parties.notify.name": _NOTIFY, "parties.notify.address": _NOTIFY,
     "trade.deliveryTerm": _TRADE, "trade.paymentType": _TRADE, "trade.origin": _EXPORT,
-    "transport.mode": f"{_EXPORT} BILL_OF_LADING_INSTRUCTION",
+    "transport.mode": _TRANSPORT,
     "packageInfo.totalPackage": _PACKING, "packageInfo.packageType": _PACKING, "packageInfo.grossKg": _PACKING, "packageInfo.netKg": _PACKING,
 }
-GOODS_PRIORITY = _TRADE.split()
+GOODS_PRIORITY = _TRADE
 SELLER_COUNTRY = "TÜRKİYE"
 GOODS_FIELDS = {"lineNo": "int", "hsCode": "string", "description": "string", "quantity": "double", "unit": "string", "unitPrice": "double", "lineTotal": "double", "origin": "string", "grossKg": "double", "netKg": "double"}
 
 
-def priority_table(spark: SparkSession, rules: dict[str, str] | None = None) -> DataFrame:
-    rows = [(p, t, i) for p, types in (rules or PRIORITY).items() for i, t in enumerate(types.split())]
+def priority_table(spark: SparkSession, rules: dict[str, list[str]] | None = None) -> DataFrame:
+    rows = [(p, t, i) for p, types in (rules or PRIORITY).items() for i, t in enumerate(types)]
     return spark.createDataFrame(rows, "path string, source string, priority int")
 
 
@@ -53,6 +54,17 @@ def with_overrides(resolved: DataFrame, declarations: DataFrame, key: str) -> Da
     return resolved.join(forced.select(key, "path"), [key, "path"], "left_anti").unionByName(forced)
 
 
+def first_object(sources: DataFrame, key: str, value: str, pos: str = "pos") -> DataFrame:
+    """(key, value): the first source's object that is there, of whatever type the source is."""
+    return sources.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, pos).alias(value))
+
+
+def field_rules(rules: DataFrame) -> DataFrame:
+    """Stored field rules (path, primary, fallback) as a rule table for resolve_fields. An extension: they are only stored elsewhere."""
+    rows = rules.select("path", F.posexplode(F.array("primary", "fallback")).alias("priority", "source"))
+    return rows.where("source is not null and source <> ''").select("path", "source", "priority")
+
+
 def resolve_goods(lists: DataFrame, key: str) -> DataFrame:
     """(key, source, lines): the whole first non-empty list by source priority and position, never mixed."""
     rank = F.array_position(F.array(*map(F.lit, GOODS_PRIORITY)), F.col("source"))

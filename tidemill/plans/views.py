@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import tr_format
 from ..functions.text import tail_ref, transport_code
 from ..operators.joins import labelled
 from ..operators.stats import count_bundle
@@ -41,6 +42,21 @@ def file_counts(files: DataFrame) -> DataFrame:
     return count_bundle(files.where("not isArchived"), own)
 
 
+def writing_fields(fields: Column) -> Column:
+    """Structs (key, label, value) of a declaration's form from a map of path to text; packages and weight only where they are known."""
+    at = lambda p: F.element_at(fields, p)
+    dash = lambda c: F.coalesce(c, F.lit("—"))
+    date = F.coalesce(F.date_format(F.try_to_timestamp(at("header.invoiceDate")), "dd.MM.yyyy"), F.lit("—"))
+    amount = F.coalesce(F.concat_ws(" ", tr_format(at("header.totalAmount").try_cast("double")), at("header.currency")), F.lit("—"))
+    row = lambda k, n, v: F.struct(F.lit(k).alias("key"), F.lit(n).alias("label"), v.alias("value"))
+    base = F.array(
+        row("gonderici", "Gönderici", dash(at("parties.seller.name"))), row("alici", "Alıcı", dash(at("parties.buyer.name"))), row("beyan", "Beyan", F.coalesce(at("evrimHeader.rejim"), F.lit("10 — İhracat"))),
+        row("referans", "Referans", dash(at("header.invoiceNo"))), row("fatura", "Fatura", F.concat_ws(" / ", date, dash(at("header.invoiceNo")))), row("teslim", "Teslim Şekli", dash(at("trade.deliveryTerm"))), row("kiymet", "Kıymet", amount),
+    )
+    more = F.array(row("kap", "Kap Adedi", at("packageInfo.totalPackage")), row("kilo", "Brüt Kilo", F.concat(at("packageInfo.grossKg"), F.lit(" KG"))))
+    return F.concat(base, F.filter(more, lambda r: r["value"].isNotNull()))
+
+
 def registration_counts(rows: DataFrame) -> DataFrame:
     """waiting and started count the same rows; completed is always 0."""
     started = F.col("status") == "started"

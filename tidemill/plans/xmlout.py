@@ -14,6 +14,11 @@ PACKAGE_TAGS = {"TotalPackage": "packageInfo.totalPackage"}
 WEIGHT_TAGS = {"GrossKg": "packageInfo.grossKg", "NetKg": "packageInfo.netKg"}
 
 
+def flat_mapping() -> dict[str, str]:
+    """Block and tag of every element to its path: the three tables in one."""
+    return {f"{block}.{t}": p for block, tags in (("Beyanname", HEAD_TAGS), ("Package", PACKAGE_TAGS), ("Weight", WEIGHT_TAGS)) for t, p in tags.items()}
+
+
 def tag(name: str, value: Column, indent: int) -> Column:
     """An element on a line of its own; empty for null."""
     return F.concat(F.lit(f"{' ' * indent}<{name}>"), F.coalesce(escape_xml(value), F.lit("")), F.lit(f"</{name}>"))
