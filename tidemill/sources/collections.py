@@ -55,3 +55,11 @@ def dispatch(df: DataFrame, type_col: str, extractors: dict[str, Column], empty:
         out = F.when(F.col(type_col) == t, e).otherwise(out)
     known = F.col(type_col).isin(*extractors)
     return df.withColumn("data", out).withColumn("source_type", F.when(known, F.col(type_col)).otherwise("OTHER"))
+
+
+def extraction_outcome(df: DataFrame, data: Column, error: Column) -> DataFrame:
+    """Rows with extractedData, extractionStatus and parseErrors: one document's failure is a FAILED row with its message, and stops no other."""
+    failed = error.isNotNull() | data.isNull()
+    message = F.coalesce(error, F.lit("Çıkarma hatası"))
+    kept = [c for c in df.columns if c not in ("extractedData", "extractionStatus", "parseErrors")]
+    return df.select(*kept, F.when(~failed, data).alias("extractedData"), F.when(failed, "FAILED").otherwise("SUCCESS").alias("extractionStatus"), F.when(failed, F.array(message)).otherwise(F.array().cast("array<string>")).alias("parseErrors"))
