@@ -65,9 +65,10 @@ def dedup_brute(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [64, 4])
 def test_line_dedup_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "WORTH", hot)
     r = random.Random(4)
     base = [" ".join(r.choice(["alpha", "beta", "deltå", "eps 中", "zeta"]) for _ in range(9)) for _ in range(10)]
 
@@ -109,7 +110,7 @@ def test_line_dedup_threshold_grows_with_length(spark, monkeypatch):
             seen.append(x)
         want[i] = "\n".join(keep)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for hot, worth in ((64, 16), (2, 1), (3, 2)):
+    for hot, worth in ((64, 2000), (4, 3)):
         monkeypatch.setattr(line_dedup, "HOT", hot)
         monkeypatch.setattr(line_dedup, "WORTH", worth)
         got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df, lambda n: F.length(F.bin(n.cast("long"))) - 4).collect()}
