@@ -52,11 +52,11 @@ def invoice_heads(t):
     return extract_text.with_header_fields(t("orders").select("o_orderkey", flat.alias("flat")), "flat").drop("flat")
 
 
-@query("""SELECT o_orderkey, v.i AS line_no, lpad((o_orderkey * 10 + v.i)::VARCHAR, 12, '8') AS hs_code, 'Part ' || v.i || ' of ' || o_custkey AS description, CAST(CASE v.i WHEN 1 THEN 1600 ELSE 3 END AS DOUBLE) AS quantity, 'Adet' AS unit, CAST(12.5 AS DOUBLE) AS unit_price, (o_custkey + 0.75)::DOUBLE AS line_total
+@query("""SELECT o_orderkey, v.i AS line_no, lpad((o_orderkey * 10 + v.i)::VARCHAR, 12, '8') AS hs_code, 'Part ' || v.i || ' of ' || o_custkey AS description, CAST(CASE v.i WHEN 1 THEN 1600 ELSE 3 END AS DOUBLE) AS quantity, 'Adet' AS unit, CAST(12.5 AS DOUBLE) AS unit_price, (o_custkey + 2.75)::DOUBLE AS line_total
 FROM orders, (VALUES (1), (2)) v(i)""")
 def goods_blocks(t):
     block = lambda i: F.concat(
-        F.lit(f"\n{i}\nPart "[:-1] + f" {i} of "), F.col("o_custkey").cast("string"), F.lit("\nAB12CD34EF56\n" + ("1.600" if i == 1 else "3") + "\nAdet 12,50\n%18 EUR 4,00\nEUR 1,50\nEUR\n"), F.col("o_custkey").cast("string"),
+        F.lit(f"\n{i}\nPart "[:-1] + f" {i} of "), F.col("o_custkey").cast("string"), F.lit("\nAB12CD34EF56\n" + ("1.600" if i == 1 else "3") + "\nAdet 12,50\n%18 EUR 4,00\nEUR 1,50\nEUR\n"), (F.col("o_custkey") + 2).cast("string"),
         F.lit(",75\nKarayolu "), F.lpad((F.col("o_orderkey") * 10 + i).cast("string"), 12, "8"),
     )
     g = extract_text.with_goods_blocks(t("orders").select("o_orderkey", F.concat(F.lit("head"), block(1), block(2), F.lit("\nend")).alias("text")), "text", "goods")
@@ -72,15 +72,15 @@ def goods_rows(t):
     return g.select("o_orderkey", F.explode("goods").alias("g")).select("o_orderkey", "g.*").withColumn("description", F.replace(F.col("description"), F.lit("no x"), F.lit("no ")))
 
 
-# --- items, from word boxes made from order lines
+# --- items, from word boxes made from suppliers
 
 
 def word_boxes(t) -> DataFrame:
-    """Two pages an order: each line is a row of boxes with code, quantity, unit, price, amount, currency, term and tariff code."""
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    lines = t("lineitem").where("l_linenumber <= 4").dropDuplicates(["l_orderkey", "l_linenumber"])
+    """Two pages a supplier: each of four lines is a row of boxes with code, quantity, unit, price, amount, currency, term and tariff code."""
+    k, n = F.col("s_suppkey"), F.col("n")
+    lines = t("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"))
     y = 700.0 + 200.0 * n
-    q, p = F.col("l_linenumber") * 3 + 2, F.col("l_linenumber") * 10
+    q, p = n * 3 + 2, n * 10
     cell = lambda pos, x, s, dy=0.0: F.struct((n * 20 + pos).cast("int").alias("pos"), s.cast("string").alias("text"), F.lit(float(x)).alias("x0"), (y + dy).alias("y0"), F.lit(float(x) + 60).alias("x1"), (y + dy + 20).alias("y1"), F.lit(0.9).alias("score"))
     cells = [
         cell(1, 100, F.concat(F.lit("AB.CD."), n + 100)), cell(2, 110, F.lit("Steel"), 30.0), cell(3, 180, F.lit("bolt"), 30.0), cell(4, 500, q), cell(5, 570, F.lit("ADET")), cell(6, 700, F.concat(p, F.lit(",50"))),
@@ -89,7 +89,7 @@ def word_boxes(t) -> DataFrame:
     return lines.select(k.cast("string").alias("doc_id"), (n % 2 + 1).cast("int").alias("page"), F.explode(F.array(*cells)).alias("w")).select("doc_id", "page", "w.*")
 
 
-_ITEM_SQL = """WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 4), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n % 2, n) AS line_no, n * 3 + 2 AS q, n * 10 AS p FROM l)
+_ITEM_SQL = """WITH l AS (SELECT s_suppkey AS k, v.n FROM supplier, (VALUES (1), (2), (3), (4)) v(n)), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n % 2, n) AS line_no, n * 3 + 2 AS q, n * 10 AS p FROM l)
 """
 
 
