@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
         out: dict[str, list] = {"doc_id": [], "lang": [], "x": []}
         for i, lang, text in zip(rows["doc_id"], rows["lang"], rows["text"], strict=True):
             lines = text.split("\n")
-            for t in {text, lines[(i or 0) % len(lines)]}:
+            for t in {text, lines[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(lines)]}:
                 if (x := vector(t)) is not None:
                     out["doc_id"].append(i)
                     out["lang"].append(lang)
