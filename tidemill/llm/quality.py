@@ -7,6 +7,7 @@ same sample maps to a probability.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ from .rules import labelled_sample
 
 #: Labelled documents of each quality that the field is fitted on: a parameter that bounds what the driver gathers.
 SAMPLE = 2500
-#: Lines of a sampled document that the fit looks at; scores always use all lines.
-FIT_LINES = 64
+#: Labelled documents of more lines take no part in the fit, which looks at all lines of the others; scores always use all lines.
+FIT_LONGEST = 4096
 OWN = 12
 _SIGNS = b"#*$%&|<>"
 
@@ -75,6 +76,15 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray)
     return marginal, pair, log_z
 
 
+def alike(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rising lengths, each of which ends at twice its first, so that little is filled up."""
+    at = 0
+    while at < len(lengths):
+        end = int(np.searchsorted(lengths, max(2 * lengths[at], 8), "right"))
+        yield at, end
+        at = end
+
+
 @dataclass
 class Field:
     """A fitted field: feature scaling, weights, label transitions and the logistic step on a document's mean."""
@@ -91,13 +101,8 @@ class Field:
         """Probability of `good` of every line of each document; documents of like length are worked on together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(docs)
         order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: len(docs[i]))
-        at = 0
-        while at < len(order):
-            most = max(2 * len(docs[order[at]]), 8)
-            group = []
-            while at < len(order) and len(docs[order[at]]) <= most:
-                group.append(order[at])
-                at += 1
+        for a, b in alike(np.array([len(docs[i]) for i in order], np.int64)):
+            group = order[a:b]
             n = np.array([len(docs[i]) for i in group])
             flat = ((np.concatenate([docs[i] for i in group]) - self.mean) / self.spread).clip(-8, 8) @ self.weight + self.bias
             unary = np.zeros((len(group), n.max()))
@@ -121,12 +126,13 @@ def fit_field(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps
     field = Field(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)))
     if not keep or len(set(good[keep].tolist())) < 2:
         return field
-    parts = [docs[i][0][:FIT_LINES] for i in keep]
+    keep.sort(key=lambda i: len(docs[i][0]))
+    parts = [docs[i][0] for i in keep]
     y, n = good[keep].astype(np.float64), np.array([len(p) for p in parts])
     flat = np.concatenate(parts).astype(np.float64)
     field.mean, field.spread = flat.mean(0), flat.std(0) + 1e-6
-    T = n.max()
-    inside = np.arange(T)[None, :] < n[:, None]
+    ends = np.cumsum(n)
+    groups = list(alike(n))
     X = ((flat - field.mean) / field.spread).clip(-8, 8)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) / n  # classes and documents weigh alike
     line_share, line_y = np.repeat(share, n), np.repeat(y, n)
@@ -134,10 +140,16 @@ def fit_field(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps
     pairs[np.arange(len(y)), y.astype(int), y.astype(int)] = n - 1
     theta, m, v = np.zeros(width + 5), np.zeros(width + 5), np.zeros(width + 5)
     for t in range(1, steps + 1):
-        unary = np.zeros((len(y), T))
-        unary[inside] = X @ theta[:width] + theta[width]
-        marginal, pair, _ = forward_backward(unary, theta[width + 1 :].reshape(2, 2), n)
-        err = (marginal[inside] - line_y) * line_share
+        flat_unary = X @ theta[:width] + theta[width]
+        flat_marginal, pair = np.zeros(len(X)), np.zeros((len(y), 2, 2))
+        for a, b in groups:
+            rows = slice(ends[a] - n[a], ends[b - 1])
+            inside = np.arange(n[b - 1])[None, :] < n[a:b, None]
+            unary = np.zeros(inside.shape)
+            unary[inside] = flat_unary[rows]
+            marginal, pair[a:b], _ = forward_backward(unary, theta[width + 1 :].reshape(2, 2), n[a:b])
+            flat_marginal[rows] = marginal[inside]
+        err = (flat_marginal - line_y) * line_share
         grad = np.concatenate([X.T @ err + l2 * theta[:width] / width, [err.sum()], ((pair - pairs) * share[:, None, None]).sum(0).ravel() + l2 * theta[width + 1 :]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -158,9 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Field:
 
     def work(rows: dict) -> dict:
         got = [document_features(t) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "quality": rows["quality"], "x": [x[:FIT_LINES].tobytes() for x, _ in got], "w": [w[:FIT_LINES].tolist() for _, w in got]}
+        return {"doc_id": rows["doc_id"], "quality": rows["quality"], "x": [x.tobytes() for x, _ in got], "w": [w.tolist() for _, w in got]}
 
-    got = sorted((tuple(r) for r in map_slices(labelled_sample(docs, labels, per_class), work, "doc_id long, quality int, x binary, w array<double>").collect()), key=lambda r: r[:2])
+    got = sorted((tuple(r) for r in map_slices(labelled_sample(docs.where(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)) <= FIT_LONGEST), labels, per_class), work, "doc_id long, quality int, x binary, w array<double>").collect()), key=lambda r: r[:2])
     parts = [(np.frombuffer(x, np.float32).reshape(-1, 3 * OWN + 2), np.array(w)) for _, _, x, w in got]
     return fit_field(parts, np.array([q for _, q, _, _ in got]))
 
