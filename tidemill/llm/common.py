@@ -104,6 +104,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         nxt = stored(small, "edges")
         tally = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
         same = e.agg(*tally).first() == nxt.agg(*tally).first()
+        discard(e)
         e = nxt
         if same:
             break

@@ -21,8 +21,8 @@ from .common import components, map_slices, stored, table
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 6
 #: Nodes of a tile: bounds the rows of a verification task at twice this.
 TILE = 512
-#: Candidate nodes up to which their ids are broadcast (8 bytes each) to read texts again; beyond it they are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Rows up to which candidate nodes (about 100 bytes each) are broadcast to read texts again, and classes to name them; beyond it they are joined by a shuffle.
+BROADCAST_NODES = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
@@ -145,7 +145,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
     class_id is the least doc_id of the class; n_links counts other documents at the threshold or above, copies included.
     Texts without a word (null too) are linked to nothing; a row without an id is of no class and has no links. Rows
-    with an equal text are copies of each other, repeated ids among them. Ids of different texts are taken to differ.
+    with an equal text are copies of each other, repeated ids among them. Rows that repeat an id with another text are documents of their own.
     """
     bands = bands_for(threshold, recall)
     text = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "text")
@@ -155,31 +155,33 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
     signed = stored(map_slices(text, sign, "doc_id long, h1 long, h2 long, bands array<long>"), "signed")
     real = signed.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
-    nodes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "nodes")
+    nodes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
     edges = rows.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     block = stored(components(edges), "blocks")
     sizes = block.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = block.join(sizes, "root").join(nodes.select(F.col("node").alias("id"), "copies", "h1", "h2"), "id").select(F.col("id").alias("node"), "root", "copies", "h1", "h2", "tiles", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
+    tiled = block.join(sizes, "root").join(nodes.select(F.col("node").alias("id"), "first", "copies", "h1", "h2"), "id").select(F.col("id").alias("node"), "first", "root", "copies", "h1", "h2", "tiles", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
     tiled = stored(tiled, "tiled")
 
-    wanted = tiled.select(F.col("node").alias("doc_id"), "h1", "h2", "root", "copies", "tiles", "tile")
+    wanted = tiled.select(F.col("first").alias("doc_id"), "h1", "h2", "node", "root", "copies", "tiles", "tile")
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    # a node's own row: repeated rows of it are dropped below, by node
+    # a node's first row: repeats of that row are dropped below, by node
     own = text.join(wanted, ["doc_id", "h1", "h2"])
 
     def grams(rows: dict) -> dict:
-        return {"node": rows["doc_id"], "grams": [shingles(t, words).tobytes() for t in rows["text"]]} | {c: rows[c] for c in ("root", "copies", "tiles", "tile")}
+        return {"node": rows["node"], "grams": [shingles(t, words).tobytes() for t in rows["text"]]} | {c: rows[c] for c in ("root", "copies", "tiles", "tile")}
 
-    sets = map_slices(own.select("doc_id", "text", "root", "copies", "tiles", "tile"), grams, "node long, grams binary, root long, copies long, tiles int, tile int").dropDuplicates(["node"])
+    sets = map_slices(own.select("node", "text", "root", "copies", "tiles", "tile"), grams, "node long, grams binary, root long, copies long, tiles int, tile int").dropDuplicates(["node"])
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "grams", "root", "copies", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
     found = stored(dealt.groupBy("root", "ti", "tj").applyInArrow(verifier(threshold), "node long, root long, links long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("class"))
-    named = nodes.select("h1", "h2", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
-    named = named.select("h1", "h2", F.coalesce("class", "node").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    classes = stored(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("class")), "classes")
+    names = stored(classes.join(nodes.select("node", "first"), "node").groupBy("class").agg(F.min("first").alias("name")), "names")
+    classes = classes.join(F.broadcast(names) if names.count() <= BROADCAST_NODES else names, "class")
+    named = nodes.select("h1", "h2", "node", "first", "copies").join(links, "node", "left").join(classes, "node", "left")
+    named = named.select("h1", "h2", F.coalesce("name", "first").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     # texts without a word are not among the nodes, so they stay by themselves
     key = F.when(F.col("doc_id").isNotNull() & (F.size("bands") > 0), F.col("h1"))
     return signed.select("doc_id", key.alias("h1"), "h2").join(named, ["h1", "h2"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
