@@ -467,9 +467,148 @@ def test_components(spark):
     assert got == {i: find(i) for i in {x for e in edges if e[0] != e[1] for x in e}}
 
 
+def test_repeated_ids_keep_their_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    docs = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, "else")]
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(5, 5, 1), (5, 5, 1), (6, 5, 1), (7, 5, 1), (8, 8, 0)]
+    line = "a line of more than thirty-two characters, "
+    rows = [(5, line + "one"), (5, "other text"), (6, line + "ons"), (7, "other text"), (7, "x")]
+    left = sorted((x.doc_id, x.text) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == [(5, line + "one"), (5, "other text"), (6, ""), (7, ""), (7, "x")]
+
+
+def test_swapped_answers(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "end"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1" * 50_000), (2, 0, "user", "alone"), (3, 0, "user", "p"), (3, 1, "assistant", "a3"), (None, 0, "user", "x"), (5, 1, "assistant", "a5"), (5, 0, None, None), (5, 0, None, None)]
+    got = {x.pair_id: x for x in chat.render_preferences(chat.swapped_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert {k: v.n_prompt_turns for k, v in got.items()} == {0: 1, 1: 1, 2: 1, 3: 1, 5: 1}
+    assert got[0].chosen == "<|assistant|>\na0<|end|>\n<|user|>\nend<|end|>\n" and "a1" * 50_000 in got[0].rejected and got[1].rejected.startswith("<|assistant|>\na0<")
+    assert got[2].chosen == got[2].rejected == "" and got[3].rejected == "" and got[5].rejected == ""
+    a, b = map(int, got[0].rejected_mask.split(":"))
+    assert got[0].rejected[a:b] == "a1" * 50_000 + "<|end|>"
+
+
+@pytest.mark.parametrize("size", [1, 1_000, 1_000_000])
+def test_nra_block_against_integers(size):
+    r = np.random.default_rng(size)
+    C = (r.normal(size=(250, 12)) * 64 * size).astype(np.int64)
+    C[7] = 64 * 10**9 if size == 1 else C[7]
+    C[1::9] = C[0]
+    ids, depths = r.permutation(250), []
+    a, b, s = topk.nra_block(C[:20], ids[:20], C, ids, 5, depths)
+    for q in range(20):
+        best = sorted((-sum(int(x) * int(y) for x, y in zip(C[c], C[q])), int(ids[c])) for c in range(250) if c != q)[:5]
+        assert [(-int(v), int(ids[c])) for i, c, v in zip(a, b, s) if i == q] == best
+    assert len(depths) == 20 and all(0 < d <= 1 for d in depths)
+
+
+def base_by_hand(text):
+    """The base kinds by walking characters, without patterns."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    low = "".join(c.lower() if c.isascii() else "\0" for c in text)
+    value, out = set(letters + letters.upper() + "0123456789+/_.=-"), []
+    i = 0
+    while i < len(text):
+        hit = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(name, i):
+                continue
+            p = i + len(name)
+            for quote in ((1, 0) if text[p : p + 1] in ("'", '"') and text[p : p + 1] else (0,)):
+                q = p + quote
+                while text[q : q + 1] == " ":
+                    q += 1
+                if text[q : q + 1] not in (":", "=") or not text[q : q + 1]:
+                    continue
+                q += 1
+                while text[q : q + 1] == " ":
+                    q += 1
+                q += bool(text[q : q + 1]) and text[q : q + 1] in "'\""
+                e = q
+                while e < len(text) and text[e] in value:
+                    e += 1
+                if e > q:
+                    hit = (i, e, e - q)
+                    break
+            if hit:
+                break
+        if hit:
+            out += [(hit[0], hit[1], "assign")] * (hit[2] >= 6)
+            i = hit[1]
+        else:
+            i += 1
+    for kind, head, chars, least in (("access", "AKIA", set(letters.upper() + "0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(text):
+            e = i + len(head)
+            while text.startswith(head, i) and e < len(text) and text[e] in chars:
+                e += 1
+            if text.startswith(head, i) and e > i + len(head):
+                out += [(i, e, kind)] * (e - i >= least)
+                i = e
+            else:
+                i += 1
+    return sorted(out)
+
+
+def test_secret_base_against_a_plain_walk():
+    r = random.Random(5)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apiKEY", '"', "'", " ", ":", "=", "abc", "Xy9", "+/", "AKIA", "A" * 9, "B2" * 5, "0a" * 7, "f", "é", "\n", "ſecret", "-"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert sorted(x for x in secret_scan.find(text) if x[2] in secret_scan.LEAST) == base_by_hand(text), text
+
+
+def test_secret_keys_glued_and_folded():
+    key = der(0x30, b"".join(der(2, bytes([1 + i]) * 40) for i in range(5)))
+    small = base64.b64encode(der(0x30, der(2, b"\1" * 11) + der(2, b"\2" * 11))).decode()
+    b = base64.b64encode(key).decode()
+    for text in (f"key-{b}", f"my_key_{b}", f"x/{b}", "\n".join(b[i : i + 64] for i in range(0, len(b), 64)), "\r\n ".join(b[i : i + 76] for i in range(0, len(b), 76)), small, "k_" + key.hex()):
+        assert [k for *_, k in secret_scan.confirmed_spans(f"né {text} end")] == ["der"], text
+    for hostile in ("eyJ-" * 50_000 + ".a.b", "-----BEGIN PRIVATE KEY-----" * 8_000, "/MIIBMIIA" * 20_000):
+        assert secret_scan.confirmed_spans(hostile) == []
+
+
+def test_queries_keep_their_contract(spark, tmp_path):
+    docs, labels, _ = labelled(spark, 120)
+    texts = spark.createDataFrame([(1000, None, None, None, None), (1001, "token = abcdefgh " + "ab" * 14, "en", "s", 1)], DDL)
+    docs.unionByName(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    want = {
+        secret_scan.op2_secret_scan: "doc_id bigint,n_assign bigint,n_access bigint,n_hex bigint,base_sha256 string,spans string",
+        quality.op3_quality_crf: "doc_id bigint,held_out boolean,score double,predicted int",
+        lexicon.op4_fst_bpe: "doc_id bigint,n_tokens bigint,ids_sha256 string,decoded_sha256 string",
+        rules.op5_quality_rules: "doc_id bigint,n_words bigint,word_chars bigint,n_symbols bigint,n_dup_lines bigint,n_repeat_words bigint,base_failed boolean,kept boolean",
+        language.op6_language_id: "doc_id bigint,held_out boolean,lang_pred string,score double",
+        packing.op8_packing: "doc_id bigint,start bigint,length bigint,ids_crc32 bigint,doc_tokens bigint,sequence_id bigint,offset bigint",
+    }
+    for query, columns in want.items():
+        out = query(spark, str(tmp_path))
+        assert ",".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) == columns
+        rows = {x.doc_id: x for x in out.collect()}
+        assert len(rows) == 122
+        if query is secret_scan.op2_secret_scan:
+            spans = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base_by_hand("token = abcdefgh " + "ab" * 14)))
+            assert rows[1001].base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and rows[1001].spans == spans
+            assert (rows[1001].n_assign, rows[1001].n_access, rows[1001].n_hex) == (1, 0, 1) and rows[1000].spans == ""
+
+
 # --- pipeline
 
 
+def test_pipeline_odd_rows(spark):
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    for name in ("language_id", "line_dedup", "ngram_jaccard_join", "secret_scan"):
+        assert stages[name](spark, frame(spark, []), "").count() == 0
+        out = stages[name](spark, clashing(frame(spark, ODD)), "")
+        assert out.columns == P.COLUMNS and {x.doc_id for x in out.collect()} <= {x[0] for x in ODD}
+    kept = stages["ngram_jaccard_join"](spark, clashing(frame(spark, [*ODD, (5, "another text under the same id again", "en", "s", 1)])), "").collect()
+    assert sorted(str(x.doc_id) for x in kept) == sorted(["1", "2", "3", "None", "4", "5", "5", "6"])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -141,7 +141,14 @@ def verifier(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs: its class of documents linked by Jaccard similarity of word n-grams.
+    """doc_id, class_id, n_links for every row of docs, as `told_apart` gives them."""
+    return told_apart(docs, words, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def told_apart(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), class_id, n_links, leads for every row of docs: its class of documents linked by Jaccard similarity of word n-grams.
+
+    leads: whether the row's id and text are the least of its class; true for a row that is in no class.
 
     class_id is the least doc_id of the class; n_links counts other documents at the threshold or above, copies included.
     Texts without a word (null too) are linked to nothing; a row without an id is of no class and has no links. Rows
@@ -178,13 +185,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     found = stored(dealt.groupBy("root", "ti", "tj").applyInArrow(verifier(threshold), "node long, root long, links long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = stored(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("root").alias("class")), "classes")
-    names = stored(classes.join(nodes.select("node", "first"), "node").groupBy("class").agg(F.min("first").alias("name")), "names")
+    names = stored(classes.join(nodes.select("node", "first", "h1", "h2"), "node").groupBy("class").agg(F.min(F.struct("first", "h1", "h2")).alias("name")), "names")
     classes = classes.join(F.broadcast(names) if names.count() <= BROADCAST_NODES else names, "class")
     named = nodes.select("h1", "h2", "node", "first", "copies").join(links, "node", "left").join(classes, "node", "left")
-    named = named.select("h1", "h2", F.coalesce("name", "first").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    named = named.select("h1", "h2", F.coalesce("name", F.struct("first", "h1", "h2")).alias("name"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     # texts without a word are not among the nodes, so they stay by themselves
     key = F.when(F.col("doc_id").isNotNull() & (F.size("bands") > 0), F.col("h1"))
-    return signed.select("doc_id", key.alias("h1"), "h2").join(named, ["h1", "h2"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    rows = signed.select("doc_id", "h1", key.alias("k1"), "h2").join(named.withColumnRenamed("h1", "k1"), ["k1", "h2"], "left")
+    leads = F.coalesce(F.col("name") == F.struct(F.col("doc_id").alias("first"), "h1", "h2"), F.col("name").isNull())
+    return rows.select("doc_id", "h1", "h2", F.coalesce("name.first", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), leads.alias("leads"))
 
 
 def op10_ngram_join(spark, sf_dir):
