@@ -175,5 +175,29 @@ def test_stream(spark, tmp_path):
     assert {(r.event_type, r.n) for r in spark.table("counts").collect()} == {("click", 20), ("view", 20)}
 
 
-def test_pdf_kinds_need_no_library():
-    pytest.importorskip("tidemill.sources.pdf")
+def test_pdf_text_says_why_a_file_is_none(spark):
+    from tidemill.sources import pdf
+
+    files = spark.createDataFrame([("a.txt", b"%PDF-1.7"), ("b.pdf", b"hello"), ("c.PDF", b"%PDF-broken"), ("d.pdf", b"x")], "path string, content binary")
+    got = {x.path: x for x in pdf.texts(files).collect()}
+    assert [got[k].reason for k in ("a.txt", "b.pdf", "c.PDF", "d.pdf")] == ["non-pdf", "not-pdf-binary", None, None]
+    assert all(x.text is None for x in got.values()) and got["c.PDF"].error
+
+
+def test_number_formats(spark):
+    from tidemill.functions import numbers
+
+    rows = spark.createDataFrame([(x,) for x in (5.0, 12345678.5, 0.0001, 1e21, 1.5e-7, 1e20, -2.5, 0.1, 1e15)], "x double")
+    plain = [r[0] for r in rows.select(numbers.plain_format(F.col("x"))).collect()]
+    assert plain == ["5", "12345678.5", "0.0001", "1e+21", "1.5e-7", "100000000000000000000", "-2.5", "0.1", "1000000000000000"]
+    shown = spark.createDataFrame([(1430.5, 0.125, 2.5)], "a double, b double, c double").select(numbers.tr_format(F.col("a"), 0), numbers.tr_format(F.col("b")), numbers.tr_format(F.col("c"), 0)).first()
+    assert tuple(shown) == ("1.431", "0,13", "3")
+
+
+def test_keep_first_takes_null_keys_apart_and_patches_do_not_multiply(spark):
+    from tidemill.operators import changes, dedupe
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, n int")
+    assert {x.n: x.outcome for x in dedupe.keep_first(df, F.col("k"), [F.col("n")]).collect()} == {1: "sent", 2: "sent", 3: "sent", 4: "duplicate"}
+    base, patch = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 5), ("a", 7)], "k string, v int")
+    assert [tuple(x) for x in changes.patched(base, patch, "k").collect()] == [("a", 7)]
