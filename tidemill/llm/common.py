@@ -48,17 +48,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, if its scan has fewer: a small file of one row group would be one task's work.
+
+    A table with partitions enough is left as it lies, so nothing large is shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string")) % n
 
 
-def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:
-    """mapInArrow over slices of at most SLICE rows: work gets columns as lists (with setup's result first, if there is one)."""
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string. Asks the session, so it is for the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:
+    """mapInArrow over slices of at most SLICE rows: work gets columns as lists (with setup's result first, if there is one)."""
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (setup(),) if setup else ()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, lexicon, line_dedup, ngram_join, packing, quality, rules, secret_scan, topk
+from . import chat, language, lexicon, line_dedup, ngram_join, packing, periodic, quality, rules, secret_scan, topk
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_topk_nra": topk.op9_topk_nra,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_kmr_runs": periodic.op11_kmr_runs,
         "pipeline": pipeline,
     }
 
