@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, lexicon, line_dedup, ngram_join, packing, periodic, quality, rules, secret_scan, topk
+from . import chat, divergence, language, lexicon, line_dedup, ngram_join, packing, periodic, quality, rules, secret_scan, topk, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -24,9 +24,11 @@ def queries() -> dict:
         "op9_topk_nra": topk.op9_topk_nra,
         "op10_ngram_join": ngram_join.op10_ngram_join,
         "op11_kmr_runs": periodic.op11_kmr_runs,
+        "op12_bloom_urls": url_filter.op12_bloom_urls,
+        "op13_term_tiles": divergence.op13_term_tiles,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op7_preference_chat": chat.OP7_SQL, "op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op7_preference_chat": chat.OP7_SQL, "op9_topk_nra": topk.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL, "op12_bloom_urls": url_filter.OP12_SQL, "op13_term_tiles": divergence.OP13_SQL}
