@@ -84,22 +84,27 @@ def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, per_class: int, total: int | None = None) -> DataFrame:
-    """At most about per_class rows of each value of `by` (and `total` of all), chosen by a hash of `key`: the same rows on every run.
+#: Values of `by` that a sample has at most, the most frequent ones: bounds what the driver gathers and what a model learns to tell apart.
+MOST_CLASSES = 64
 
-    One pass counts the classes; a class of n rows then keeps hashes below per_class / n. Nulls of `by` take no part.
+
+def bounded_sample(df: DataFrame, by: str, keys: list[str], per_class: int, total: int | None = None, classes: int = MOST_CLASSES) -> DataFrame:
+    """At most about per_class different rows of each of the `classes` most frequent values of `by` (and `total` of all), the same on every run.
+
+    Rows are chosen by a hash of `keys`; those that repeat by and keys count once, so that neither one repeated id nor one repeated
+    row can fill or empty the sample. One pass counts a class's different keys, about; a class of n then keeps hashes below
+    per_class / n. Ties between classes: the lesser value. Nulls of `by` take no part.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
+    key = F.xxhash64(*keys, F.lit(17))
+    sizes = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("n"))
+    counts = {r[0]: r[1] for r in sizes.orderBy(F.desc("n"), by).limit(classes).collect()}
     if not counts:
         return df.limit(0)
     if total:
         per_class = min(per_class, max(1, total // len(counts)))
     spread = 1 << 40
-    keep = F.lit(False)
-    at = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(spread))
-    for value, n in sorted(counts.items()):
-        keep = keep | ((F.col(by) == F.lit(value)) & (at < F.lit(int(min(1.0, per_class / n) * spread))))
-    return df.where(keep)
+    below = F.create_map(*(F.lit(x) for value, n in sorted(counts.items()) for x in (value, int(min(1.0, per_class / max(n, 1)) * spread))))
+    return df.where(F.pmod(key, F.lit(spread)) < F.coalesce(F.try_element_at(below, F.col(by)), F.lit(0))).dropDuplicates([by, *keys])
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

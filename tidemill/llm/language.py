@@ -120,7 +120,8 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
     """Machines from at most about per_lang documents of each non-null lang, and SAMPLE_ALL in all. Each gives its whole text and, as short texts
-    are harder, one of its lines by itself. Without such documents every prediction is `und`."""
+    are harder, one of its lines by itself. Of more than common.MOST_CLASSES languages the most frequent are learned. Rows that repeat id, lang
+    and text count once. Without such documents every prediction is `und`."""
 
     def work(rows: dict) -> dict:
         out: dict[str, list] = {"doc_id": [], "lang": [], "x": []}
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
                     out["x"].append(x.astype(np.float16).tobytes())
         return out
 
-    chosen = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_lang, SAMPLE_ALL)
+    chosen = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", ["doc_id", "text"], per_lang, SAMPLE_ALL)
     got = sorted(map(tuple, map_slices(chosen, work, "doc_id long, lang string, x binary").collect()), key=lambda r: (r[0] if r[0] is not None else -1, r[1], bytes(r[2])))
     X = np.stack([np.frombuffer(x, np.float16) for _, _, x in got]).astype(np.float32) if got else np.zeros((0, BUCKETS), np.float32)
     return Model(X, np.array([x for _, x, _ in got], object))
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language_id(spark, sf_dir):
+    """Predict the language of every row of documents from machines that learn outside the held-out third. A null id is never held out; odd texts as in identify."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)))
     model = fit(docs.where("not held_out"))
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -114,4 +114,5 @@ def pack(docs: DataFrame, window: int = WINDOW, with_ids: bool = False) -> DataF
 
 
 def op8_packing(spark, sf_dir):
+    """Pack every row of documents; odd rows as in pack."""
     return pack(table(spark, sf_dir, "documents"))

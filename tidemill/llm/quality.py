@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold, map_slices, table
 from .rules import labelled_sample
@@ -21,6 +22,8 @@ from .rules import labelled_sample
 SAMPLE = 2500
 #: Labelled documents of more lines take no part in the fit, which looks at all lines of the others; scores always use all lines.
 FIT_LONGEST = 4096
+#: Lines of each quality that the fit takes in all, in an order by hash: bounds the driver's memory (about 0.5 kB a line, 200 MB).
+FIT_LINES = 200_000
 OWN = 12
 _SIGNS = b"#*$%&|<>"
 
@@ -172,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Field:
         got = [document_features(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "quality": rows["quality"], "x": [x.tobytes() for x, _ in got], "w": [w.tolist() for _, w in got]}
 
-    got = sorted((tuple(r) for r in map_slices(labelled_sample(docs.where(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)) <= FIT_LONGEST), labels, per_class), work, "doc_id long, quality int, x binary, w array<double>").collect()), key=lambda r: r[:2])
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    upto = F.sum(lines).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    sample = labelled_sample(docs.where(lines <= FIT_LONGEST), labels, per_class).withColumn("upto", upto).where(F.col("upto") <= FIT_LINES).drop("upto")
+    got = sorted((tuple(r) for r in map_slices(sample, work, "doc_id long, quality int, x binary, w array<double>").collect()), key=lambda r: r[:2])
     parts = [(np.frombuffer(x, np.float32).reshape(-1, 3 * OWN + 2), np.array(w)) for _, _, x, w in got]
     return fit_field(parts, np.array([q for _, q, _, _ in got]))
 
@@ -189,6 +195,7 @@ def score_documents(docs: DataFrame, field: Field, least: float = 0.7) -> DataFr
 
 
 def op3_quality_crf(spark, sf_dir):
+    """Score every row of documents by a field that is fitted outside the held-out quarter; odd rows as in score_documents and labelled_sample."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
     return score_documents(docs, fit(docs, labels))

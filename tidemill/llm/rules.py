@@ -161,8 +161,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     from pyspark.sql import functions as F
 
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = bounded_sample(one, "quality", "doc_id", per_class)
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = bounded_sample(one, "quality", ["doc_id"], per_class)
+    # rows that repeat an id would multiply the sample, so each id gives its least text
+    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Trees:
@@ -192,6 +194,7 @@ def apply_rules(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir):
+    """Judge every row of documents; odd rows as in apply_rules, and a label's id that several rows have counts once in the fit."""
     docs = table(spark, sf_dir, "documents")
     out = apply_rules(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

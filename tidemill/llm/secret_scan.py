@@ -13,7 +13,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -39,6 +39,8 @@ _JWT_HEAD, _JWT_REST = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]*"), re.comp
 _INSIDE = re.compile(r"(?<![A-Za-z0-9])eyJ")
 _SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)")
 _FIRST = (0x02, 0x30)  # tags that a key encoding may begin with inside
+#: Bytes that the name of an SSH key type may have.
+_SSH_LONGEST = 255
 _SSH_MAGIC = b"openssh-key-v1\x00"
 # Fields of an SSH public key after its type, by the beginning of the type.
 _SSH_FIELDS = {b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-": 2, b"sk-ssh-ed25519": 2, b"sk-ecdsa-": 3}
@@ -84,60 +86,85 @@ def der_value(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end and not (tag == 2 and n == 0) else None
 
 
-def der_size(b: bytes, at: int = 0) -> int:
+class Values:
+    """DER values of one buffer, each parsed once: end(at) is where the value at `at` ends if its nested values fill it exactly, else 0."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.ends, self.stops = b, {}, {}
+
+    def end(self, at: int) -> int:
+        todo = [(at, -1)]  # a place, and how far the values inside it have been followed
+        while todo:
+            here, inside = todo.pop()
+            if here in self.ends:
+                continue
+            value = der_value(self.b, here, len(self.b))
+            if value is None or not value[0] & 0x20:
+                self.ends[here] = value[2] if value else 0
+                continue
+            _, start, last = value
+            inside, seen = max(inside, start), []
+            while inside < last:
+                # a row of values that is known to break off before `last` is not followed again
+                if self.stops.get(inside, last) < last:
+                    inside = 0
+                elif inside not in self.ends:
+                    todo += [(here, inside), (inside, -1)]
+                    break
+                else:
+                    seen.append(inside)
+                    inside = self.ends[inside]
+                if not inside:
+                    stop = self.stops.get(seen[-1], seen[-1]) if seen else start
+                    self.stops |= dict.fromkeys(seen, stop)
+                    self.ends[here] = 0
+                    break
+            else:
+                self.ends[here] = last if inside == last else 0
+        return self.ends[at]
+
+
+def der_size(values: Values, at: int = 0) -> int:
     """Bytes of the key encoding at `at`: one SEQUENCE whose nested values fill it exactly, an INTEGER or a SEQUENCE first; 0 if there is none."""
+    b = values.b
     top = der_value(b, at, len(b)) if b[at : at + 1] == b"\x30" else None
-    if top is None or top[2] - at < LEAST_DER or b[top[1] : top[1] + 1] not in (b"\x02", b"\x30"):
+    if top is None or top[2] - at < LEAST_DER or b[top[1]] not in _FIRST:
         return 0
-    open_ends, here = [top[2]], top[1]
-    while open_ends:
-        if here == open_ends[-1]:
-            open_ends.pop()
-            continue
-        value = der_value(b, here, open_ends[-1])
-        if value is None:
-            return 0
-        tag, start, end = value
-        if tag & 0x20:  # constructed: its values are next
-            open_ends.append(end)
-            here = start
-        else:
-            here = end
-    return top[2] - at
+    return max(values.end(at) - at, 0)
 
 
 def der_key(b: bytes) -> bool:
     """Whether b is one key encoding, from its first byte to its last."""
-    return bool(b) and der_size(b) == len(b)
+    return bool(b) and der_size(Values(b)) == len(b)
 
 
-def ssh_size(get: Callable[[int], bytes | None]) -> int:
-    """Bytes of an SSH public key blob or OpenSSH private key, read field by field; 0 if it is none. get(n): its first n bytes, None if there are fewer."""
-    here = 0
+def ssh_size(b: bytes, at: int = 0) -> int:
+    """Bytes of an SSH public key blob or OpenSSH private key at `at`, read field by field without a copy of long ones; 0 if it is none."""
 
-    def field() -> bytes | None:
-        nonlocal here
-        head = get(here + 4)
-        whole = head and get(here + 4 + int.from_bytes(head[here:], "big"))
-        out = None if whole is None else whole[here + 4 :]
-        here += 4 + len(out or b"")
-        return out
+    def past(here: int) -> int:
+        """Where the field at `here` ends, 0 if that is not in b."""
+        end = here + 4 + int.from_bytes(b[here : here + 4], "big")
+        return end if here and here + 4 <= len(b) and end <= len(b) else 0
 
-    if get(len(_SSH_MAGIC)) == _SSH_MAGIC:
-        here = len(_SSH_MAGIC)
-        if any(field() is None for _ in range(3)):  # cipher, key derivation and its options
-            return 0
-        count = get(here + 4)
-        fields, here = 2 if count and count[here:] == b"\0\0\0\1" else 0, here + 4  # a public key, then the private part
+    if b.startswith(_SSH_MAGIC, at):
+        here = at + len(_SSH_MAGIC)
+        for _ in range(3):  # cipher, key derivation and its options
+            here = past(here)
+        fields = 2 if here and b[here : here + 4] == b"\0\0\0\1" else 0  # a public key, then the private part
+        here += 4
     else:
-        kind = field() or b""
-        fields = next((n for k, n in _SSH_FIELDS.items() if kind.startswith(k)), 0) if _SSH_TYPE.fullmatch(kind) else 0
-    return here if fields and all(field() for _ in range(fields)) else 0
+        size = int.from_bytes(b[at : at + 4], "big")
+        kind = b[at + 4 : at + 4 + size] if size <= _SSH_LONGEST else b""
+        fields = next((n for k, n in _SSH_FIELDS.items() if kind.startswith(k)), 0) if len(kind) == size and _SSH_TYPE.fullmatch(kind) else 0
+        here = at + 4 + size
+    for _ in range(fields):
+        here = past(here)
+    return here - at if fields and here else 0
 
 
 def ssh_key(b: bytes) -> bool:
     """Whether b is one SSH public key blob or OpenSSH private key, from its first byte to its last."""
-    return bool(b) and ssh_size(lambda n: b[:n] if n <= len(b) else None) == len(b)
+    return bool(b) and ssh_size(b) == len(b)
 
 
 def _json_object(part: str) -> dict | None:
@@ -200,44 +227,60 @@ def jwt_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def unfolded(text: str, at: int, size: int) -> tuple[bytes, int] | None:
-    """The first `size` bytes of the base64 at `at`, which may be folded over lines, and where its last character ends."""
-    left, parts = -(-size * 4 // 3), []
-    while True:
-        run = _RUN.match(text, at, at + left)
-        parts.append(run[0] if run else "")
-        at, left = at + len(parts[-1]), left - len(parts[-1])
-        if not left:
-            break
-        fold = _FOLD.match(text, at) if run else None
-        if fold is None:
-            return None
-        at = fold.end()
-    got = unbase64("".join(parts))
-    return None if got is None else (got[:size], at)
+class Flat:
+    """Base64 of a text from one place up to where it ends, its folds taken out, decoded once for each of four alignments."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.starts, self.places, parts, n = [], [], [], 0
+        while run := _RUN.match(text, at):
+            self.starts.append(n)
+            self.places.append(at)
+            parts.append(run[0])
+            n, at = n + len(run[0]), run.end()
+            fold = _FOLD.match(text, at)
+            if fold is None:
+                break
+            at = fold.end()
+        self.chars, self.end, self._decoded = "".join(parts), at, {}
+
+    def index(self, place: int) -> int:
+        k = bisect_right(self.places, place) - 1
+        return self.starts[k] + place - self.places[k]
+
+    def place_after(self, index: int) -> int:
+        """Where in the text the character before `index` ends."""
+        k = bisect_right(self.starts, index - 1) - 1
+        return self.places[k] + index - self.starts[k]
+
+    def decoded(self, r: int) -> Values:
+        if r not in self._decoded:
+            body = self.chars[r:].replace("-", "+").replace("_", "/")
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            self._decoded[r] = Values(base64.b64decode(body + "=" * (-len(body) % 4)))
+        return self._decoded[r]
 
 
 def base64_spans(text: str) -> list[tuple[int, int, str]]:
-    """Keys in base64, on one line or folded, that begin after no letter or digit and end before none. Their own lengths say where."""
-    out, past = [], 0
+    """Keys in base64, on one line or folded, that begin after no letter or digit and end before none. Their own lengths say where.
+
+    Nested lengths are followed up to the first that is wrong; bytes are decoded and values parsed once, however many heads claim them.
+    """
+    out, past, flat = [], 0, None
     for m in _BASE64_HEAD.finditer(text):
         at = m.start()
-        if at < past or (head := unfolded(text, at, 21)) is None:
+        if at < past:
             continue
-        size, kind = 0, "ssh"
-        if m[0][0] == "M":
-            kind, top = "der", der_value(head[0], 0, len(text))
-            if top and head[0][top[1]] in _FIRST and top[2] * 4 <= (len(text) - at) * 3:
-                whole = unfolded(text, at, top[2])
-                size = der_size(whole[0]) if whole else 0
-        else:
-            size = ssh_size(lambda n, at=at: (unfolded(text, at, n) or (None,))[0])
+        if flat is None or at >= flat.end:
+            flat = Flat(text, at)
+        i = flat.index(at)
+        values, byte = flat.decoded(i % 4), i // 4 * 3
+        kind, size = ("der", der_size(values, byte)) if m[0][0] == "M" else ("ssh", ssh_size(values.b, byte))
         if size:
-            end = unfolded(text, at, size)[1]
-            pads = -(-(-size * 4 // 3)) % 4
+            n = -(-size * 4 // 3)
+            end, pads = flat.place_after(i + n), -n % 4
             while pads and text.startswith("=", end):
                 end, pads = end + 1, pads - 1
-            if end == len(text) or not (text[end].isascii() and text[end].isalnum()):
+            if (end == len(text) or not (text[end].isascii() and text[end].isalnum())) and unbase64(flat.chars[i : i + n]) is not None:
                 out.append((at, end, kind))
                 past = end
     return out
@@ -299,6 +342,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op2_secret_scan(spark, sf_dir):
+    """Secrets of every whole text of documents: counts and a hash of the base kinds, and all spans. A null text is empty; null and repeated ids give a row each."""
+
     def work(rows: dict) -> dict:
         found = [find(t) for t in rows["text"]]
         out = {"doc_id": rows["doc_id"]}

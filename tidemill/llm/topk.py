@@ -103,18 +103,19 @@ def nra_block(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids:
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows by integer inner product for each row whose id is divisible by `every`.
 
-    Components become floor(scale * x), those beyond a long its end. Rows whose id is null, or whose vector is null, empty or holds a
-    null, NaN or infinite component, take no part. A shorter vector counts as ended by zeros. Repeated query ids give one
+    Components become floor(scale * x), those beyond a long its end. Rows whose id is null, or whose vector is null or holds a
+    null, NaN or infinite component, take no part; an empty vector scores 0. A shorter vector counts as ended by zeros. Repeated query ids give one
     list each, of the row that comes first by vector; repeated candidate rows count each. Empty table: no rows.
     Queries are met in blocks with blocks of candidates, so a task holds QUERY_BLOCK and CANDIDATE_BLOCK vectors at
     most and sends k rows per query on.
     """
     x = F.transform(vector_col, lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("long"))
     sound = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    base = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & sound).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    base = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
     total, dims, queries = base.agg(F.count("*"), F.max(F.size("x")), F.count(F.when(F.col("id") % every == 0, 1))).first()
     if not total or not queries:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims = max(dims, 1)
     c_blocks, q_blocks = -(-total // CANDIDATE_BLOCK), -(-queries // QUERY_BLOCK)
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n)).cast("int")
     cand = base.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("id", "x"), F.lit(c_blocks)).cast("int").alias("cb"))
@@ -139,6 +140,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_
 
 
 def op9_topk_nra(spark, sf_dir):
+    """The 20 best others for every twentieth row of embeddings; odd rows as in top_k."""
     from .common import table
 
     return top_k(table(spark, sf_dir, "embeddings"))
@@ -148,11 +150,12 @@ OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+         CAST(CASE WHEN len(q.x) = len(c.x) AND len(q.x) > 0 THEN list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[]))
+                   ELSE coalesce(list_sum(list_transform(range(1, least(len(q.x), len(c.x)) + 1), lambda i: q.x[i] * c.x[i])), 0) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
