@@ -117,6 +117,23 @@ def test_line_dedup_threshold_grows_with_length(spark, monkeypatch):
         assert got == want, hot
 
 
+def test_one_hot_segment_beside_cool_ones(spark, monkeypatch):
+    """A segment that half of all lines share is split, whatever the many small hot ones would allow on average."""
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "WORTH", 12)
+    r = random.Random(11)
+    hot = "the passage that all of these lines begin with and "
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    lines = [hot + make(40) for _ in range(60)] + [make(45) + x for x in (make(46) for _ in range(12)) for _ in range(6)]
+    lines += [x[:70] + "Q" + x[71:] for x in lines[::5]] + [x[:20] + x[21:] for x in lines[::7]]
+    r.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(-(-len(lines) // 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
+    assert got == dedup_brute(docs)
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df, near_least=10_000).collect()} == {i: t for i, t in docs}
+
+
 def test_frequent_words_take_all_counts_above_a_level(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice(["aa", "bb", "cc"]) if r.random() < 0.7 else f"w{'x' * r.randint(1, 9)}" for _ in range(30)) for _ in range(40)]
@@ -153,6 +170,9 @@ def test_banded_distance(spark, pairs):
     for edits in (1, 2):
         got = {r.i: r.ok for r in df.select("i", line_dedup.within_edits(F.col("x"), F.col("y"), edits).alias("ok")).collect()}
         assert got == {i: distance(x, y) <= edits for i, (x, y) in enumerate(pairs)}
+    for edits in (0, 1, 2, 4):
+        got = {r.i: r.ok for r in df.select("i", line_dedup.reaches_end(F.col("x"), F.col("y"), F.lit(edits)).alias("ok")).collect()}
+        assert got == {i: distance(x, y) <= edits for i, (x, y) in enumerate(pairs)}
 
 
 # --- 2 secrets
