@@ -71,3 +71,25 @@ def nearest_other(df: DataFrame, group: list[str], at: str, ident: str) -> DataF
     earlier = F.when(F.col("_p").isNotNull(), F.struct((F.col(at) - F.col("_p")).alias("gap"), F.col("_p").alias("place"), F.col("_pid").alias("other")))
     out = out.withColumn("_best", F.coalesce(here, F.least(earlier, cand(F.col("_a")))))
     return out.withColumn("nearest_id", F.col("_best.other")).withColumn("nearest_gap", F.col("_best.gap")).drop("_first", "_b", "_a", "_p", "_pid", "_best")
+
+
+def nearest_in_column(probes: DataFrame, words: DataFrame, group: list[str], ident: list[str], reach: float, cell: float = 200.0) -> DataFrame:
+    """ident of each probe with the nearest word of its group and value, if there is one: x0, y0, pos, and its distances dy and dx.
+
+    Probes have value, y, x_min and x_max (both null: anywhere), words value, x0, y0 and pos. A word counts within `reach` of y, and from
+    x_min to x_max. The nearest has the least |y0 - y|, then the least |x0 - x_min| (x0 where there is no column), then the
+    least pos. Both sides meet on group, value and a cell of a grid over the page; a probe asks the cells that its column and reach
+    cover, and an argmin of each task's words goes on. Probes that repeat in ident count once.
+    """
+    band = lambda c: F.floor(c / F.lit(reach)).cast("long")
+    column = lambda c: F.floor(c / F.lit(cell)).cast("long")
+    bands = F.sequence(band(F.col("y") - reach), band(F.col("y") + reach))
+    asked = probes.select(*ident, *(c for c in [*group, "value", "y", "x_min", "x_max"] if c not in ident)).withColumn("_band", F.explode(bands))
+    placed = words.select(*group, "value", "x0", "y0", "pos", band(F.col("y0")).alias("_band"), column(F.col("x0")).alias("_column"))
+    narrow = asked.where("x_min is not null").withColumn("_column", F.explode(F.sequence(column(F.col("x_min")), column(F.greatest("x_min", "x_max")))))
+    wide = asked.where("x_min is null")
+    met = narrow.join(placed, [*group, "value", "_band", "_column"]).where("x0 between x_min and x_max").drop("_column")
+    met = met.unionByName(wide.join(placed.drop("_column"), [*group, "value", "_band"]))
+    dy, dx = F.abs(F.col("y0") - F.col("y")), F.coalesce(F.abs(F.col("x0") - F.col("x_min")), F.col("x0"))
+    best = met.where(dy <= reach).groupBy(*ident).agg(F.min(F.struct(dy.alias("dy"), dx.alias("dx"), "pos", "x0", "y0")).alias("best"))
+    return best.select(*ident, "best.*")

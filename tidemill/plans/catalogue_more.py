@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import changes, filters, joins, scans, stats
+from ..operators import changes, filters, joins, ordered, scans, search, stats
 from ..sources import collections, pdf
 from . import approval, extract_spatial, extract_text, resolve, validate, views, xmlout
 from .catalogue import query
@@ -559,3 +561,110 @@ def extraction_runs(t):
 def pdf_reasons(t):
     k = F.col("doc_id")
     return t("documents").select("doc_id", pdf.refusal(F.when(k % 3 == 0, "a.txt").otherwise("a.PDF"), F.lit(None).cast("string"), F.encode(F.when(k % 3 == 2, "%PDF-1.7 x").otherwise("hello"), "UTF-8")).alias("reason"))
+
+
+# --- boxes and values of items, case by case; words of a column; order within large groups
+
+
+@query("""WITH l AS (SELECT s_suppkey AS k, v.n FROM supplier, (VALUES (1), (2), (3), (4)) v(n)), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n % 2, n) AS line_no, n * 3 + 2 AS q, n * 10 AS p, 700.0 + 200 * n AS y FROM l)
+SELECT k::VARCHAR AS doc_id, line_no, CASE n WHEN 1 THEN '5' WHEN 4 THEN '3' ELSE '1' END AS quantity, CASE n WHEN 1 THEN '10,50' WHEN 4 THEN '10,00' ELSE '12,50' END AS unit_price,
+CASE n WHEN 1 THEN '52,50' WHEN 4 THEN '47,77' ELSE '12,50' END AS amount, n = 4 AS needs_review, CASE WHEN n = 3 THEN NULL ELSE CAST(500 AS DOUBLE) END AS quantity_x, CASE WHEN n = 3 THEN NULL ELSE CAST(y - 5 AS DOUBLE) END AS quantity_y,
+CAST(700 AS DOUBLE) AS price_x, CASE WHEN n IN (1, 4) THEN CAST(850 AS DOUBLE) END AS amount_x, CAST(100 AS DOUBLE) AS code_x, CAST(1100 AS DOUBLE) AS gtip_x FROM i""")
+def item_boxes(t):
+    """A pair of price and amount (line 1), an amount by expectation (2), the last money text (3), and figures that fit nothing (4); every quantity stands twice, as near above as below."""
+    k, n = F.col("s_suppkey"), F.col("n")
+    y = 700.0 + 200.0 * n
+    case = lambda *v: F.element_at(F.array(*map(F.lit, v)), n)
+    cell = lambda pos, x, s, dy=0.0: F.struct((n * 20 + pos).cast("int").alias("pos"), s.cast("string").alias("text"), F.lit(float(x)).alias("x0"), (y + dy).alias("y0"), F.lit(float(x) + 60).alias("x1"), (y + dy + 20).alias("y1"), F.lit(0.9).alias("score"))
+    head = lambda pos, x, s: F.struct((n * 0 + 900 + pos).cast("int").alias("pos"), F.lit(s).alias("text"), F.lit(float(x)).alias("x0"), F.lit(600.0).alias("y0"), F.lit(float(x) + 60).alias("x1"), F.lit(620.0).alias("y1"), F.lit(0.9).alias("score"))
+    q = case("5", "1", "4", "3")
+    cells = [
+        cell(1, 100, F.concat(F.lit("AB.CE."), n + 100)), cell(4, 500, q, -5.0), cell(14, 500, q, 5.0), cell(5, 570, F.lit("ADET")), cell(6, 700, case("10,50", "12,50", "12,50", "10,00")), cell(7, 850, case("52,50", "-", "-", "47,77")),
+        cell(10, 1100, F.lpad((k * 10 + n).cast("string"), 12, "9")), head(0, 90, "Malzeme"), head(1, 490, "Miktar"), head(2, 690, "Birim Fiyat"), head(3, 840, "Tutar"),
+    ]
+    lines = t("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"))
+    words = lines.select(k.cast("string").alias("doc_id"), (n % 2 + 1).cast("int").alias("page"), F.explode(F.array(*cells)).alias("w")).select("doc_id", "page", "w.*").distinct()
+    b = lambda c, i: F.get(F.col(f"boxes.{c}"), F.lit(i))
+    i = extract_spatial.extract_items(words)
+    return i.select("doc_id", "line_no", "quantity", "unit_price", "amount", "needs_review", b("quantity", 0).alias("quantity_x"), b("quantity", 1).alias("quantity_y"), b("unit_price", 0).alias("price_x"), b("amount", 0).alias("amount_x"), b("product_code", 0).alias("code_x"), b("gtip", 0).alias("gtip_x"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity * 20 AS DOUBLE) AS x, l_returnflag AS f FROM lineitem),
+p AS (SELECT k, n, x AS place, n * 30 + 7.0 AS y, CASE WHEN n % 3 > 0 THEN x - 100 END AS x_min, CASE WHEN n % 3 > 0 THEN x + 100 END AS x_max FROM l),
+m AS (SELECT p.k, p.n, p.place, l.x AS x0, l.n * 30.0 AS y0, abs(l.n * 30 - p.y) AS dy, coalesce(abs(l.x - p.x_min), l.x) AS dx, l.n AS pos FROM p JOIN l ON l.k = p.k AND l.f = 'N' AND abs(l.n * 30 - p.y) <= 55 AND (p.x_min IS NULL OR l.x BETWEEN p.x_min AND p.x_max)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, n, place ORDER BY dy, dx, pos, x0, y0) AS i FROM m) SELECT k, n, CAST(place AS DOUBLE) AS place, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(dy AS DOUBLE) AS dy, CAST(dx AS DOUBLE) AS dx FROM r WHERE i = 1""")
+def nearest_in_columns(t):
+    n, x = F.col("n"), F.col("x")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_quantity") * 20).cast("double").alias("x"), "l_returnflag").distinct()
+    probes = rows.select("k", "n", x.alias("place"), F.lit("N").alias("value"), (n * 30 + 7.0).cast("double").alias("y"), F.when(n % 3 > 0, x - 100).alias("x_min"), F.when(n % 3 > 0, x + 100).alias("x_max")).distinct()
+    words = rows.select("k", F.col("l_returnflag").alias("value"), x.alias("x0"), (n * 30).cast("double").alias("y0"), n.alias("pos"))
+    return joins.nearest_in_column(probes, words, ["k"], ["k", "n", "place"], 55.0).select("k", "n", "place", "x0", "y0", "dy", "dx")
+
+
+@query("""SELECT event_id, min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_at FROM events""")
+def next_event_of_all(t):
+    """All events are one group, in blocks of 2,000."""
+    e = t("events").select("event_id", F.lit("all").alias("g"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    return ordered.next_wanted(e, ["g"], "at", F.col("event_type") == "purchase", "next_at", rows=2000).select("event_id", "next_at")
+
+
+@query("""SELECT o_orderkey, sum(o_totalprice::DECIMAL(18, 2)) OVER w AS total, count(*) OVER w AS n, min(o_custkey) OVER w AS least FROM orders WINDOW w AS (ORDER BY o_custkey, o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+def around_of_all(t):
+    """All orders are one group, in blocks of 1,500 with a halo of three rows."""
+    o = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.lit(0).alias("g"))
+    return ordered.around_at(o, ["g"], "o_custkey", "o_orderkey", {"total": F.sum("price"), "n": F.count("*"), "least": F.min("o_custkey")}, rows=1500).select("o_orderkey", F.col("total").cast("decimal(38,2)").alias("total"), "n", "least")
+
+
+@query("""SELECT NULL AS flag, median(l_extendedprice) AS median FROM lineitem UNION ALL SELECT l_returnflag, median(l_extendedprice) FROM lineitem GROUP BY 1""")
+def exact_medians(t):
+    """Of all rows as one group, and of each flag, by rounds of histograms down to 50 values."""
+    both = t("lineitem").select(F.explode(F.array(F.lit(None).cast("string"), F.col("l_returnflag"))).alias("flag"), F.col("l_extendedprice").alias("v"))
+    return ordered.exact_median(both, ["flag"], "v", few=50)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10 OFFSET (SELECT (count(*) - 1) // 10 * 10 FROM lineitem)""")
+def deep_page(t):
+    """The last page of ten rows, from a table written in sixteen ranges of the order."""
+    order = ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = t("lineitem").select(*order)
+    pages = ordered.Pages.write(rows, order, f"{ordered.shared_folder(rows.sparkSession)}/pages-{uuid.uuid4().hex}", 16)
+    return pages.page(pages.count(10), 10)
+
+
+# --- searches, rules and navigation
+
+
+@query("""WITH w AS (SELECT DISTINCT trim(lower(unnest(string_split(p_type, ' ')))) AS term FROM part UNION SELECT DISTINCT lower(left(p_name, 2)) FROM part UNION SELECT DISTINCT lower(right(p_brand, 1)) FROM part UNION SELECT 'no such text')
+SELECT term, p_partkey FROM w JOIN part ON contains(lower(p_name), term) OR contains(lower(p_type), term) OR contains(lower(p_brand), term) WHERE term <> ''""")
+def search_terms(t):
+    """All words of part types, two and one letters, and a term that nothing has, in three columns at once."""
+    p = t("part")
+    terms = p.select(F.explode(F.split("p_type", " ")).alias("term")).union(p.select(F.substring("p_name", 1, 2))).union(p.select(F.right("p_brand", F.lit(1)))).distinct()
+    terms = terms.union(p.limit(1).select(F.lit("no such text"))).union(p.limit(1).select(F.lit("  ")))
+    return search.search_all(p, "p_partkey", ["p_name", "p_type", "p_brand"], terms)
+
+
+@query("""WITH r AS (SELECT s_suppkey AS rule_id, CASE s_suppkey % 4 WHEN 0 THEN p_brand ELSE left(p_brand, 6 + s_suppkey % 3) END AS brand, s_suppkey % 4 AS kind, left(p_type, 5) AS start, p_size AS size FROM supplier JOIN part ON p_partkey = s_suppkey)
+SELECT p_partkey, rule_id FROM r JOIN part p ON CASE WHEN kind = 0 THEN p.p_brand = r.brand ELSE starts_with(p.p_brand, r.brand) END AND starts_with(p.p_type, start) AND (kind <> 2 OR p.p_size = r.size)""")
+def rules_at_once(t):
+    """One rule a supplier, made from a part: a brand or its beginning, the beginning of a type, for some a size, and a condition that is off."""
+    n = F.col("s_suppkey")
+    made = t("supplier").join(t("part"), n == F.col("p_partkey"))
+    c = lambda field, operator, value, on=None: F.struct(F.lit(field).alias("field"), operator.alias("operator"), value.cast("string").alias("value"), (F.lit(True) if on is None else on).alias("enabled"))
+    brand = F.when(n % 4 == 0, F.col("p_brand")).otherwise(F.substring(F.col("p_brand"), F.lit(1), (6 + n % 3).cast("int")))
+    conditions = F.array(c("p_brand", F.when(n % 4 == 0, "equals").otherwise("starts_with"), brand), c("p_type", F.lit("starts_with"), F.substring("p_type", 1, 5)), c("p_size", F.lit("equals"), F.col("p_size"), n % 4 == 2), c("p_name", F.lit("equals"), F.lit("never"), F.lit(False)))
+    return search.match_rules(t("part"), "p_partkey", ["p_brand", "p_type", "p_size", "p_name"], made.select(n.alias("rule_id"), conditions.alias("conditions")))
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 40 > 0 THEN p_partkey // 40 * 40 + (p_partkey % 40 - 1) // 3 END AS parent, p_brand AS cap, p_size AS size FROM part),
+i AS (SELECT n.*, k IN (SELECT parent FROM n WHERE parent IS NOT NULL) AS inside FROM n),
+down AS (SELECT k, parent, k AS root, 1 AS depth, size % 7 = 0 AS admin, cap, inside FROM i WHERE parent IS NULL AND size % 5 > 0 UNION ALL SELECT i.k, i.parent, d.root, d.depth + 1, d.admin, i.cap, i.inside FROM down d JOIN i ON i.parent = d.k),
+up AS (SELECT k, parent FROM down WHERE NOT inside AND depth > 1 AND (admin OR cap IN ('Brand#11', 'Brand#23', 'Brand#42')) UNION SELECT d.k, d.parent FROM up JOIN down d ON d.k = up.parent)
+SELECT d.k AS node_id, d.depth, d.root FROM down d WHERE d.k IN (SELECT k FROM up)""")
+def navigation_tree(t):
+    """Parts as nodes of trees of three children a node and up to five levels; the roots of some ask for another mode, some are for super admins."""
+    k = F.col("p_partkey")
+    root = k % 40 == 0
+    parent = F.when(~root, F.floor(k / 40) * 40 + F.floor((k % 40 - 1) / 3))
+    nodes = t("part").select(k.alias("node_id"), parent.cast("long").alias("parent_id"), F.array("p_brand").alias("capabilities"), F.when(root & (F.col("p_size") % 5 == 0), "cloud").when(root & (F.col("p_size") % 5 == 1), "local").alias("required_mode"), (root & (F.col("p_size") % 7 == 0)).alias("super_admin_only"))
+    return views.visible_navigation(nodes, ["Brand#11", "Brand#23", "Brand#42"], "local", True)

@@ -139,12 +139,39 @@ def special_actions(capabilities: Column) -> Column:
 
 
 def visible_menu(items: DataFrame, held: Column) -> DataFrame:
-    """Menu rows (group, item, capabilities) that may be seen; a group without a visible item is gone with its rows."""
+    """Menu rows (group, item, capabilities) of which one capability at least is held, or that ask for none. Rows stand alone; visible_navigation goes by groups."""
     from ..operators.filters import allowed
 
     return items.where(allowed(F.col("capabilities"), held))
 
 
+def visible_navigation(nodes: DataFrame, held: list[str], mode: str, super_admin: bool) -> DataFrame:
+    """node_id, depth (from 1) and root of the nodes of navigation trees, of any depth, that may be seen.
+
+    nodes: node_id, parent_id (null for a group), capabilities (null or empty: a screen that asks for none), required_mode and
+    super_admin_only, which count for groups. A group of another mode, or for super admins where the user is none, is gone with
+    all below it. A screen (a node without children) is seen with one of its capabilities, or if it asks for none; in a super admin's
+    group it is seen anyway. A node with children is seen if a screen below it is. A node whose parent is missing is not reached.
+    A recursive query goes down the parent links with the path so far, in as many steps as the deepest tree has levels; the paths of the
+    screens that are seen are what is seen.
+    """
+    spark = nodes.sparkSession
+    may = F.lit(super_admin) | ~F.coalesce("super_admin_only", F.lit(False))
+    fits = F.col("required_mode").isNull() | (F.col("required_mode") == mode)
+    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    seen = (F.coalesce(F.size("capabilities"), F.lit(0)) <= 0) | F.arrays_overlap("capabilities", F.array(*map(F.lit, held)).cast("array<string>"))
+    rows = nodes.join(parents, "node_id", "left").select("node_id", "parent_id", F.coalesce("inner", F.lit(False)).alias("inner"), seen.alias("seen"), (may & fits).alias("open"), F.coalesce("super_admin_only", F.lit(False)).alias("admin"))
+    down = spark.sql("""
+        WITH RECURSIVE down (node_id, path, admin, leaf) AS (
+          SELECT node_id, array(node_id), admin, false FROM {rows} WHERE parent_id IS NULL AND open
+          UNION ALL
+          SELECT r.node_id, array_append(d.path, r.node_id), d.admin, NOT r.inner AND (r.seen OR d.admin) FROM down d JOIN {rows} r ON r.parent_id = d.node_id
+        )
+        SELECT path FROM down WHERE leaf
+    """, rows=rows)
+    return down.select(F.posexplode("path").alias("depth", "node_id"), F.get("path", F.lit(0)).alias("root")).select("node_id", (F.col("depth") + 1).alias("depth"), "root").distinct()
+
+
 def first_by_key(rows: DataFrame, wanted: DataFrame, ref: Column, ident: str, order: str) -> DataFrame:
     """For each wanted key the first row whose reference or id it is: two equality joins, not one on either."""
     r = rows.withColumn("_ref", ref)
