@@ -48,3 +48,8 @@ def age_bucket(days: Column) -> Column:
 
 def open_days_label(days: Column) -> Column:
     return F.when(days == 0, "Bugün").otherwise(F.concat(days.cast("string"), F.lit(" gün")))
+
+
+def open_days_level(days: Column, escalation: Column, red: int = 14) -> Column:
+    """How open days are shown: normal without escalation, else red from `red` days on and warn before."""
+    return F.when(days.isNull(), None).when(~F.coalesce(escalation, F.lit(False)), "normal").when(days >= red, "red").otherwise("warn")

@@ -79,17 +79,19 @@ def tr_format(c: Column, decimals: int = 2) -> Column:
 
 
 def plain_format(c: Column) -> Column:
-    """A finite number as JavaScript writes it: no trailing zeros, no exponent from 1e-6 up to 1e21."""
+    """A finite number as JavaScript writes it: no trailing zeros, no exponent from 1e-6 up to 1e21. Its shortest digits are made once."""
+
+    def told(x: Column) -> Column:
+        v, shown = x["v"], x["shown"]
+        size = F.abs(v)
+        plain = lambda kind: F.regexp_replace(shown.cast(kind).cast("string"), r"\.?0+$", "")
+        exponent = F.regexp_replace(F.regexp_replace(shown, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
+        far = F.when((size >= 1) & (size < 1e21), plain("decimal(38,16)")).when((size >= 1e-6) & (size < 1), plain("decimal(38,30)")).otherwise(exponent)
+        # only numbers below a thousandth and from ten million on are shown with an exponent
+        return F.when(v == 0, "0").when(F.contains(shown, F.lit("E")), far).when(F.endswith(shown, F.lit(".0")), F.left(shown, F.length(shown) - 2)).otherwise(shown)
+
     c = c.cast("double")
-    size, shown = F.abs(c), c.cast("string")
-    # the shortest digits that tell the number, without their exponent
-    plain = lambda kind: F.regexp_replace(shown.cast(kind).cast("string"), r"\.?0+$", "")
-    short = F.regexp_replace(shown, r"\.0+$", "")
-    exponent = F.regexp_replace(F.regexp_replace(shown, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
-    return (
-        F.when(c == 0, "0").when(~F.contains(shown, F.lit("E")), short).when((size >= 1) & (size < 1e21), plain("decimal(38,16)"))
-        .when((size >= 1e-6) & (size < 1), plain("decimal(38,30)")).otherwise(exponent)
-    )
+    return F.get(F.transform(F.array(F.struct(c.alias("v"), c.cast("string").alias("shown"))), told), F.lit(0))
 
 
 def scaled_box(x: Column, size: Column, to: int) -> Column:

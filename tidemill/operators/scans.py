@@ -13,6 +13,15 @@ def tenant_scan(df: DataFrame, tenant: object, tenant_col: str = "companyId", or
     return rows.orderBy(*(order if order is not None else [F.desc("updatedAt")]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, if its scan has fewer: for heavy work on the texts of a small file, whose one row group would be one task.
+
+    A table with partitions enough is left as it lies.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def child_scan(df: DataFrame, key_col: str, key: object, order: list[Column]) -> DataFrame:
     return df.where(F.col(key_col) == F.lit(key)).orderBy(*order)
 

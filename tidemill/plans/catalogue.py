@@ -308,7 +308,7 @@ def validate_rules(t):
 @query(r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d{10,12}')) AS run FROM documents)
 SELECT doc_id, rpad(run, 12, '0') AS gtip, length(run) <> 12 AS needs_review, CASE length(run) WHEN 12 THEN 'exact' WHEN 11 THEN 'padded_zero_11' ELSE 'padded_zero_10' END AS method FROM r""")
 def gtip_runs(t):
-    return t("documents").select("doc_id", F.explode(extract_spatial.tariff_codes(F.col("text"))).alias("c")).select("doc_id", "c.gtip", "c.needs_review", "c.method")
+    return scans.spread(t("documents")).select("doc_id", F.explode(extract_spatial.tariff_codes(F.col("text"))).alias("c")).select("doc_id", "c.gtip", "c.needs_review", "c.method")
 
 
 _D = r"CASE WHEN regexp_matches(f, '{0}') THEN regexp_extract(f, '{0}', 1) END"
@@ -330,7 +330,7 @@ x AS (SELECT *, coalesce(t1, t2) AS t, coalesce(g1, g2) AS g, coalesce(n1, n2) A
 SELECT doc_id, coalesce(no1, no2, no3) AS invoice_no, coalesce(iso, d[7:10] || '-' || d[4:5] || '-' || d[1:2]) AS invoice_date, cur AS currency, """ + _NUM.format("t") + """ AS total_amount, upper(term) AS delivery_term,
 left(trim(regexp_replace(coalesce(p1, p2), '[-_]{3,}', '', 'g')), 120) AS payment_type, left(trim(coalesce(o1, o2)), 120) AS origin, coalesce(m1, m2) AS transport_mode, CAST(coalesce(k1, k2) AS DOUBLE) AS total_package, left(kt, 40) AS package_type, """ + _NUM.format("g") + " AS gross_kg, " + _NUM.format("n") + " AS net_kg FROM x")
 def text_fields(t):
-    flat = t("documents").select("doc_id", text.js_trim(text.collapse(F.col("text"))).alias("flat"))
+    flat = scans.spread(t("documents")).select("doc_id", text.js_trim(text.collapse(F.col("text"))).alias("flat"))
     return extract_text.with_header_fields(flat, "flat").drop("flat")
 
 
@@ -367,7 +367,7 @@ def name_functions(t):
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
 lower(replace(replace(text, 'I', 'ı'), 'İ', 'i')) AS folded FROM documents""")
 def text_escapes(t):
-    return t("documents").select("doc_id", text.escape_xml(F.col("text")).alias("xml"), text.turkish_lower(F.col("text")).alias("folded"))
+    return scans.spread(t("documents")).select("doc_id", text.escape_xml(F.col("text")).alias("xml"), text.turkish_lower(F.col("text")).alias("folded"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")

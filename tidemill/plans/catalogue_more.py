@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import changes, filters, joins, ordered, scans, search, stats
-from ..sources import collections, pdf
+from ..sources import collections, landing, pdf
 from . import approval, extract_spatial, extract_text, resolve, validate, views, xmlout
 from .catalogue import query
 
@@ -19,7 +19,7 @@ from .catalogue import query
 
 def invoice_texts(t) -> DataFrame:
     """o_orderkey and a text with the seller above SAYIN and the buyer below it."""
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = scans.spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     vkn = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
     return o.select("o_orderkey", F.concat_ws(
         "\n", F.lit("e-Fatura"), F.concat(F.lit("ACME "), F.col("o_custkey")), F.lit("Adres: Cadde 5"), F.lit("ANKARA"), F.concat(F.lit("VKN: "), vkn), F.lit("SAYIN"), F.concat(F.lit("Firma Adı: "), F.col("c_name")),
@@ -61,7 +61,7 @@ def goods_blocks(t):
         F.lit(f"\n{i}\nPart "[:-1] + f" {i} of "), F.col("o_custkey").cast("string"), F.lit("\nAB12CD34EF56\n" + ("1.600" if i == 1 else "3") + "\nAdet 12,50\n%18 EUR 4,00\nEUR 1,50\nEUR\n"), (F.col("o_custkey") + 2).cast("string"),
         F.lit(",75\nKarayolu "), F.lpad((F.col("o_orderkey") * 10 + i).cast("string"), 12, "8"),
     )
-    g = extract_text.with_goods_blocks(t("orders").select("o_orderkey", F.concat(F.lit("head"), block(1), block(2), F.lit("\nend")).alias("text")), "text", "goods")
+    g = extract_text.with_goods_blocks(scans.spread(t("orders")).select("o_orderkey", F.concat(F.lit("head"), block(1), block(2), F.lit("\nend")).alias("text")), "text", "goods")
     return g.select("o_orderkey", F.explode("goods").alias("g")).select("o_orderkey", "g.*")
 
 
@@ -528,6 +528,15 @@ def capability_sets(t):
     return approval.capabilities(screens, registry)
 
 
+@query("SELECT o_orderkey, 'header.invoiceNo=' || o_orderkey || ',trade.paymentType=' || CASE WHEN o_custkey % 2 = 0 THEN 'own' ELSE o_orderpriority END AS merged FROM orders")
+def map_concatenation(t):
+    """Two maps of each order; of a key in both, the second map's value holds."""
+    one = F.create_map(F.lit("header.invoiceNo"), F.col("o_orderkey").cast("string"), F.lit("trade.paymentType"), F.col("o_orderpriority"))
+    two = F.create_map(F.when(F.col("o_custkey") % 2 == 0, "trade.paymentType").otherwise("header.invoiceNo"), F.when(F.col("o_custkey") % 2 == 0, "own").otherwise(F.col("o_orderkey").cast("string")))
+    merged = F.array_sort(F.map_entries(views.merged_maps(one, two)))
+    return t("orders").select("o_orderkey", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
+
+
 @query("SELECT unnest(['Beyanname.Buyer', 'Beyanname.Currency', 'Beyanname.DeliveryTerm', 'Beyanname.InvoiceDate', 'Beyanname.InvoiceNo', 'Beyanname.Origin', 'Beyanname.PaymentType', 'Beyanname.Seller', 'Beyanname.TransportMode', 'Package.TotalPackage', 'Weight.GrossKg', 'Weight.NetKg']) AS tag")
 def xml_mapping(t):
     m = F.map_concat(*(F.create_map(F.lit(k), F.lit(v)) for k, v in xmlout.flat_mapping().items()))
@@ -668,3 +677,70 @@ def navigation_tree(t):
     parent = F.when(~root, F.floor(k / 40) * 40 + F.floor((k % 40 - 1) / 3))
     nodes = t("part").select(k.alias("node_id"), parent.cast("long").alias("parent_id"), F.array("p_brand").alias("capabilities"), F.when(root & (F.col("p_size") % 5 == 0), "cloud").when(root & (F.col("p_size") % 5 == 1), "local").alias("required_mode"), (root & (F.col("p_size") % 7 == 0)).alias("super_admin_only"))
     return views.visible_navigation(nodes, ["Brand#11", "Brand#23", "Brand#42"], "local", True)
+
+
+# --- single operators that no query reached
+
+
+@query("""SELECT o_orderkey, CASE WHEN d IS NULL THEN NULL WHEN o_custkey % 2 = 0 THEN 'normal' WHEN d >= 14 THEN 'red' ELSE 'warn' END AS level FROM (SELECT *, greatest(0, date_diff('day', o_orderdate::DATE, DATE '1998-08-02')) AS d FROM orders)""")
+def open_day_levels(t):
+    return t("orders").select("o_orderkey", dates.open_days_level(dates.open_days(F.col("o_orderdate"), F.lit("1998-08-02").cast("date")), F.col("o_custkey") % 2 == 1).alias("level"))
+
+
+@query("""SELECT l_orderkey, string_agg(coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END, i) || ':' || l_returnflag, ',' ORDER BY i) AS lines
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i FROM lineitem) GROUP BY 1""")
+def goods_line_numbers(t):
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("rows"))
+    lines = F.transform("rows", lambda r: F.struct(F.when(r["l_linenumber"] % 2 == 0, r["l_partkey"]).alias("lineNo"), r["l_returnflag"].alias("hsCode")))
+    numbered = views.with_line_numbers(lines, ["hsCode"])
+    return rows.select("l_orderkey", F.array_join(F.transform(numbered, lambda x: F.concat_ws(":", x["lineNo"].cast("string"), x["hsCode"])), ",").alias("lines"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS k, count(*) AS n, string_agg(l_returnflag, ' / ' ORDER BY l_linenumber, l_partkey, l_returnflag) FILTER (l_returnflag <> 'A') AS every, arg_min(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) AS one FROM lineitem GROUP BY 1)
+SELECT k, CASE WHEN one <> 'A' THEN one ELSE coalesce(every, '—') END AS name, CASE WHEN k % 3 = 0 THEN '— / 1.234,5 KG' WHEN k % 3 = 1 THEN (k % 7) || ' KAP / —' ELSE '—' END AS packed FROM g""")
+def goods_summaries(t):
+    k = F.col("l_orderkey")
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("rows"))
+    names = F.transform("rows", lambda r: F.when(r["l_returnflag"] != "A", r["l_returnflag"]))
+    return rows.select(k.alias("k"), views.trade_name(names).alias("name"), views.packed(F.when(k % 3 == 1, k % 7), F.when(k % 3 == 0, F.lit(1234.5))).alias("packed"))
+
+
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 3 = 0 AS failed FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS props FROM events)""")
+def parsed_json(t):
+    """Every third text is cut, so that it is no JSON; what can't be parsed is null and told."""
+    p = views.parsed(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")), "k long")
+    return t("events").select("event_id", p.alias("p")).select("event_id", F.col("p.value.k").alias("k"), F.col("p.failed").alias("failed"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS doc_id, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 40 END AS words, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 3 END AS images,
+CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 > 0 THEN 'IMAGE_BASED_PDF' WHEN s_suppkey % 3 = 1 AND s_suppkey % 5 > 0 THEN 'MOSTLY_IMAGE_PDF' ELSE 'DIGITAL_TEXT_PDF' END AS pdf_type,
+CASE WHEN s_suppkey % 3 = 2 OR s_suppkey % 5 = 0 THEN CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 40 END ELSE 1 END AS routed_words FROM supplier""")
+def pdf_pages(t):
+    """Sums over two pages a document, and where its words come from: its own, or one word of the other source."""
+    k, n = F.col("s_suppkey"), F.col("n")
+    each = F.when(k % 3 == 0, 0).when(k % 3 == 1, 5).otherwise(20)
+    pages = t("supplier").select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    words = pages.select(k.cast("string").alias("doc_id"), n.alias("page"), F.when(k % 5 == 0, 0).otherwise(n).alias("images"), F.lit(None).cast("string").alias("error"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_repeat(F.lit("w"), each))).alias("text"))
+    kinds = pdf.classify(words)
+    ocr = t("supplier").select(k.cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("seen").alias("text"))
+    counts = pdf.routed(words, ocr).groupBy("doc_id").agg(F.count("text").alias("routed_words"))
+    return kinds.join(counts, "doc_id", "left").select("doc_id", "words", "images", "pdf_type", F.coalesce("routed_words", F.lit(0)).alias("routed_words"))
+
+
+@query("""SELECT o_orderkey, 'ACME ' || o_custkey || ' LTD' AS name, 'Cadde 5 KONYA' AS address FROM orders""")
+def hard_spaces(t):
+    """No-break and figure spaces of a seller's lines become plain ones."""
+    k = F.col("o_custkey").cast("string")
+    text_ = F.concat(F.lit("ACME\u00a0"), k, F.lit("\u2007LTD\nAdres:\u00a0Cadde\u00a05\nKONYA\nVKN:\u00a01234567890\nSAYIN\nBuyer\nETTN: x"))
+    p = extract_text.parties(t("orders").select("o_orderkey", text_.alias("text")))
+    return p.select("o_orderkey", F.translate("seller.name", "\u00a0\u2007", "  ").alias("name"), F.translate("seller.address", "\u00a0", " ").alias("address"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS doc_id, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 8 > 0 THEN 2 WHEN s_suppkey % 8 = 0 THEN 2 ELSE 1 END AS attempt, CASE WHEN s_suppkey % 8 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE s_name END AS data FROM supplier""")
+def extraction_ledger(t):
+    """Two runs over all suppliers as documents: in the first every fourth fails, in the second, which takes only those, every eighth."""
+    docs = t("supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name", F.col("s_suppkey").alias("k"))
+    ledger = landing.Ledger(docs.sparkSession, f"{ordered.shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}")
+    for n in (4, 8):
+        ledger.run(docs, lambda d, n=n: (F.col("s_name"), F.when(F.col("k") % n == 0, "no text")))
+    return ledger.latest().select("doc_id", F.col("attempt").cast("long").alias("attempt"), F.col("extractionStatus").alias("status"), F.col("extractedData").alias("data"))

@@ -6,6 +6,8 @@ Line-anchored parts work on arrays of lines: the first line that meets a predica
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,13 @@ SELLER_END = rf"(?i)^e\s*-?\s*fatura|{_L}e\s*-?\s*fatura{_R}|^ETTN\s*:|^Sıra\s*
 ADDRESS_END = r"(?i)^(?:Tel|Fax|Web\s*Sitesi|E-Posta|Vergi\s*Dairesi|VKN|TİCARESİCİLNO|TİCARETSİCİLNO|TICARETSICILNO|MERSISNO|MERSİSNO)\s*:"
 NOISE = r"(?i)^(?:e\s*-?\s*fatura|T\.C\.\s*.*(?:Hazine|Maliye|Gelir)|TASLAK$)"
 TAX_NO = [rf"(?i){_L}VKN\s*[:：]\s*(\d{{10,11}}){_R}", rf"(?i){_L}VKN\s*[.:]\s*(\d{{10,11}}){_R}", rf"(?i){_L}VKN\s+(\d{{10,11}}){_R}"]
-GOODS_BLOCK = rf"\n(\d{{1,3}})\n((?:(?!{_L}Karayolu\s+\d{{12}}{_R})[\s\S])*?){_L}Karayolu\s+(\d{{12}}){_R}"
+GOODS_BLOCK, GOODS_END = rf"\n\d{{1,3}}\n[\s\S]*?{_L}Karayolu\s+\d{{12}}{_R}", r"Karayolu\s+\d{12}\z"
+#: Words in lower case of which every match of a pattern has one.
+NEEDED = {
+    DATES[0]: ["tarihi", "date"], CURRENCY: ["eur", "usd", "try", "gbp", "chf", "jpy", "cny"], TOTALS[0]: ["hizmet"], TOTALS[1]: ["toplam", "grand", "denecek"],
+    TERM: "exw fob fca fas cfr cif cpt cip dap dpu ddp".split(), PAYMENT[0]: ["deme"], PAYMENT[1]: ["deme", "payment"], ORIGIN[0]: ["mallar"], ORIGIN[1]: ["menş", "origin"], MODES[0]: ["yolu", "multimodal"], MODES[1]: ["yolu"],
+    PACKAGES: ["toplam"], PACKAGE_COUNT: ["kap", "package"], GROSS[0]: ["kg"], GROSS[1]: ["brüt", "gross"], NET[0]: ["net"], NET[1]: ["net"],
+}
 UNITS = "KGM KG NIU C62 SET PCS PCE ADET MTR LTR".split()
 MOST_GOODS_LINES = 80
 
@@ -108,9 +116,15 @@ def with_header_fields(df: DataFrame, flat: str) -> DataFrame:
 
     The first ISO date anywhere comes before labelled dates. Matches that are used more than once are columns of their own first.
     """
-    c = F.col(flat)
-    # no group of a match is empty, so one search tells both whether and what
-    one = lambda p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    c, low = F.col(flat), F.col("_low")
+    df = df.withColumn("_low", F.lower(flat))
+
+    def one(p: str, g: int = 1) -> Column:
+        """The group, null without a match. No group is empty, so one search tells both; texts without a word that every match has are not searched."""
+        found = F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+        needs = NEEDED.get(p)
+        return F.when(reduce(or_, (F.contains(low, F.lit(w)) for w in needs)), found) if needs else found
+
     first = lambda patterns: F.coalesce(*map(one, patterns))
     short = lambda c, n: F.substring(js_trim(c), 1, n)
     again = {"_date": first(DATES), "_total": first(TOTALS), "_gross": first(GROSS), "_net": first(NET)}
@@ -129,7 +143,7 @@ def with_header_fields(df: DataFrame, flat: str) -> DataFrame:
         "gross_kg": last_separator_amount(F.col("_gross")),
         "net_kg": last_separator_amount(F.col("_net")),
     }
-    return df.withColumns(fields).drop(*again)
+    return df.withColumns(fields).drop(*again, "_low")
 
 
 def _goods(line_no: Column, hs: Column, description: Column, qty: Column, unit: Column, price: Column, total: Column) -> Column:
@@ -150,7 +164,9 @@ def with_goods_blocks(df: DataFrame, text: str, out: str) -> DataFrame:
         got.extend(names)
         return df
 
-    df = df.withColumn(out, F.transform(F.regexp_extract_all(text, F.lit(GOODS_BLOCK), F.lit(0)), lambda b: F.struct(F.regexp_extract(b, GOODS_BLOCK, 1).alias("no"), js_trim(F.regexp_extract(b, GOODS_BLOCK, 2)).alias("body"), F.regexp_extract(b, GOODS_BLOCK, 3).alias("hs"))))
+    # a block is matched once, and cut by what stands at its ends
+    blocks = F.when(F.contains(text, F.lit("Karayolu")), F.regexp_extract_all(text, F.lit(GOODS_BLOCK), F.lit(0))).otherwise(F.when(F.col(text).isNotNull(), F.array().cast("array<string>")))
+    df = df.withColumn(out, F.transform(blocks, lambda b: F.struct(F.split_part(b, F.lit("\n"), F.lit(2)).alias("no"), js_trim(F.regexp_replace(F.substring(b, F.length(F.split_part(b, F.lit("\n"), F.lit(2))) + 3, F.length(b)), GOODS_END, "")).alias("body"), F.right(b, F.lit(12)).alias("hs"))))
     got += ["no", "body", "hs"]
     df = grow(df, lambda x, _: {"lines": F.filter(F.transform(F.split(x["body"], "\n"), js_trim), lambda v: v != "")}, "lines")
     df = grow(df, lambda x, _: {"unit_at": _first(x["lines"], lambda v: _like(v, rf"(?i)^Adet{_R}"))}, "unit_at")

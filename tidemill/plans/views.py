@@ -187,3 +187,36 @@ def or_first(rows: DataFrame, ref: str, wanted: str, order: list[Column]) -> Dat
 def over_template(partial: Column, template: dict[str, object]) -> Column:
     """A struct of template defaults, with the partial struct's values where it has them."""
     return F.struct(*(F.coalesce(partial[k], F.lit(v)).alias(k) for k, v in template.items()))
+
+
+def merged_maps(one: Column, two: Column) -> Column:
+    """Both maps in one; of a key in both, the second map's value. A null map is empty."""
+    none = F.create_map().cast("map<string,string>")
+    one, two = F.coalesce(one, none), F.coalesce(two, none)
+    return F.map_concat(F.map_filter(one, lambda k, _: ~F.map_contains_key(two, k)), two)
+
+
+def with_line_numbers(lines: Column, fields: list[str]) -> Column:
+    """Goods lines with lineNo, its place from 1 where it has none; null lines are an empty array."""
+    numbered = F.transform(lines, lambda x, i: F.struct(F.coalesce(x["lineNo"].cast("long"), (i + 1).cast("long")).alias("lineNo"), *(x[f].alias(f) for f in fields)))
+    return F.when(lines.isNull(), F.slice(numbered, 1, 0)).otherwise(numbered)
+
+
+def trade_name(descriptions: Column) -> Column:
+    """The first line's description, else those of all lines that have one, else a dash."""
+    every = F.array_join(F.filter(descriptions, lambda d: d != ""), " / ")
+    return F.coalesce(F.get(descriptions, F.lit(0)), F.nullif(every, F.lit("")), F.lit("—"))
+
+
+def packed(packages: Column, gross: Column) -> Column:
+    """Packages and gross weight of a declaration's goods; a dash for what is not known, and one alone if neither is."""
+    kap = F.coalesce(F.concat(packages.cast("string"), F.lit(" KAP")), F.lit("—"))
+    whole = F.regexp_replace(F.regexp_replace(tr_format(gross, 3), r"(,\d*?)0+$", "$1"), r",$", "")
+    return F.when(packages.isNull() & gross.isNull(), "—").otherwise(F.concat_ws(" / ", kap, F.coalesce(F.concat(whole, F.lit(" KG")), F.lit("—"))))
+
+
+def parsed(text: Column, schema: str) -> Column:
+    """struct(value, failed) of JSON text: null and true for text that is no JSON of the schema, null and false for null."""
+    value = F.from_json(text, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = text.isNotNull() & (value.isNull() | value["_bad"].isNotNull())
+    return F.struct(F.when(~bad, value).alias("value"), F.coalesce(bad, F.lit(False)).alias("failed"))
