@@ -62,7 +62,7 @@ def goods_blocks(t):
         F.lit(",75\nKarayolu "), F.lpad((F.col("o_orderkey") * 10 + i).cast("string"), 12, "8"),
     )
     g = extract_text.with_goods_blocks(scans.spread(t("orders")).select("o_orderkey", F.concat(F.lit("head"), block(1), block(2), F.lit("\nend")).alias("text")), "text", "goods")
-    return g.select("o_orderkey", F.explode("goods").alias("g")).select("o_orderkey", "g.*")
+    return extract_text.goods_lines(g, ["o_orderkey"], "goods")
 
 
 @query("""SELECT o_orderkey, v.i AS line_no, lpad((o_orderkey * 10 + v.i)::VARCHAR, 11, '7') AS hs_code, 'Widget no ' || o_custkey AS description, CAST(CASE v.i WHEN 1 THEN 4 END AS DOUBLE) AS quantity, CASE v.i WHEN 1 THEN 'KGM' END AS unit, CAST(CASE v.i WHEN 1 THEN 2.5 END AS DOUBLE) AS unit_price, CAST(10.25 AS DOUBLE) AS line_total
@@ -71,7 +71,7 @@ def goods_rows(t):
     code = lambda i: F.lpad((F.col("o_orderkey") * 10 + i).cast("string"), 11, "7")
     lines = F.concat(F.lit("title\n1 "), code(1), F.lit(" Widget no x"), F.col("o_custkey").cast("string"), F.lit(" kgm 4 2,50 10,25\n2 "), code(2), F.lit(" Widget no x"), F.col("o_custkey").cast("string"), F.lit(" 10,25\nno code 12 3"))
     g = extract_text.with_goods_rows(t("orders").select("o_orderkey", lines.alias("text")), "text", "goods")
-    return g.select("o_orderkey", F.explode("goods").alias("g")).select("o_orderkey", "g.*").withColumn("description", F.replace(F.col("description"), F.lit("no x"), F.lit("no ")))
+    return extract_text.goods_lines(g, ["o_orderkey"], "goods").withColumn("description", F.replace(F.col("description"), F.lit("no x"), F.lit("no ")))
 
 
 # --- items, from word boxes made from suppliers

@@ -203,6 +203,15 @@ def with_goods_rows(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(out, line))
 
 
+def goods_lines(df: DataFrame, keep: list[str], goods: str) -> DataFrame:
+    """One row for each goods line of an array, with the columns to keep.
+
+    The outer explode is on purpose: a plain one asks for arrays that are not empty, and Spark would push that question below all
+    steps that make the array and so work them out twice.
+    """
+    return df.select(*keep, F.explode_outer(goods).alias("_line")).where("_line is not null").select(*keep, "_line.*")
+
+
 def extract_invoices(df: DataFrame, text: str = "text") -> DataFrame:
     """All fields of invoice texts: parties, head, trade, transport, packages, goods lines (of blocks, or of single lines without one).
 

@@ -198,8 +198,8 @@ def merged_maps(one: Column, two: Column) -> Column:
 
 def with_line_numbers(lines: Column, fields: list[str]) -> Column:
     """Goods lines with lineNo, its place from 1 where it has none; null lines are an empty array."""
-    numbered = F.transform(lines, lambda x, i: F.struct(F.coalesce(x["lineNo"].cast("long"), (i + 1).cast("long")).alias("lineNo"), *(x[f].alias(f) for f in fields)))
-    return F.when(lines.isNull(), F.slice(numbered, 1, 0)).otherwise(numbered)
+    lines = F.coalesce(lines, F.slice(F.array(F.get(lines, F.lit(0))), 1, 0))
+    return F.transform(lines, lambda x, i: F.struct(F.coalesce(x["lineNo"].cast("long"), (i + 1).cast("long")).alias("lineNo"), *(x[f].alias(f) for f in fields)))
 
 
 def trade_name(descriptions: Column) -> Column:
