@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def keep_first(df: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None, stored_key: Column | None = None) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: list[Column], stored: DataFrame | None = None, stored_key: Column | None = None, tie: list[Column] | None = None) -> DataFrame:
     """Rows with `outcome`: existing (its key is stored), duplicate (an earlier row has it), or sent. The stored check comes first.
 
     A row whose key is null equals no other, so it is sent. The earliest row of a key is found by an aggregation, not by a window
-    over all rows of the key. Rows that are alike in key and order are all first.
+    over all rows of the key. Where `order` is no total order, `tie` says which of equal rows is the first; rows that are alike in key,
+    order and tie are all first.
     """
-    rows = df.withColumn("_k", key).withColumn("_at", F.struct(*order))
+    rows = df.withColumn("_k", key).withColumn("_at", F.struct(*order, *(tie or [])))
     if stored is not None:
         rows = rows.join(stored.select(stored_key.alias("_k")).distinct().withColumn("_stored", F.lit(True)), "_k", "left")
     else:

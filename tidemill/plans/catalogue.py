@@ -311,6 +311,7 @@ def gtip_runs(t):
     return scans.spread(t("documents")).select("doc_id", F.explode(extract_spatial.tariff_codes(F.col("text"))).alias("c")).select("doc_id", "c.gtip", "c.needs_review", "c.method")
 
 
+# The patterns of the fields in DuckDB's dialect, as in extract_text.
 _D = r"CASE WHEN regexp_matches(f, '{0}') THEN regexp_extract(f, '{0}', 1) END"
 _NUM = "CASE WHEN strpos(reverse({0}), ',') > 0 AND (strpos(reverse({0}), '.') = 0 OR strpos(reverse({0}), ',') < strpos(reverse({0}), '.')) THEN TRY_CAST(regexp_replace(replace({0}, '.', ''), '^([^,]*),', '\\1.') AS DOUBLE) ELSE TRY_CAST(replace({0}, ',', '') AS DOUBLE) END"
 _HEAD = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import changes, filters, joins, ordered, scans, search, stats
-from ..sources import collections, landing, pdf
+from ..sources import collections, landing, pdf, workbooks
 from . import approval, extract_spatial, extract_text, resolve, validate, views, xmlout
 from .catalogue import query
 
@@ -487,10 +487,12 @@ def goods_normal(t):
     return t("part").select("p_partkey", g.alias("g")).select("p_partkey", F.col("g")[0]["lineNo"].alias("line_no"), F.col("g")[0]["hsCode"].alias("hs"), F.col("g")[0]["quantity"].alias("quantity"), F.col("g")[1]["lineNo"].alias("second_no"))
 
 
-@query("""SELECT user_id, count(DISTINCT event_type) AS n, arg_min(event_type, event_type) AS first_path FROM events GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, event_type, max(event_id) AS id FROM events GROUP BY 1, 2) SELECT user_id, count(*) AS n, string_agg(event_type || '=' || id || '@' || CASE WHEN id % 2 = 0 THEN 'INVOICE' ELSE 'PACKING_LIST' END, ',' ORDER BY event_type) AS trace FROM r GROUP BY 1""")
 def lineage(t):
-    rows = t("events").select("user_id", F.col("event_type").alias("path"), F.lit("v").alias("value"), F.lit("s").alias("source")).distinct()
-    return resolve.source_trace(rows, "user_id").select("user_id", F.size("trace").cast("long").alias("n"), F.array_min(F.map_keys("trace")).alias("first_path"))
+    last = t("events").groupBy("user_id", F.col("event_type").alias("path")).agg(F.max("event_id").alias("id"))
+    rows = last.select("user_id", "path", F.col("id").cast("string").alias("value"), F.when(F.col("id") % 2 == 0, "INVOICE").otherwise("PACKING_LIST").alias("source"))
+    entries = F.transform(F.array_sort(F.map_entries("trace")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"], F.lit("@"), e["value"]["source"]))
+    return resolve.source_trace(rows, "user_id").select("user_id", F.size("trace").cast("long").alias("n"), F.array_join(entries, ",").alias("trace"))
 
 
 @query("""SELECT user_id, arg_min(props, event_id) AS head FROM events WHERE event_type <> 'click' GROUP BY 1""")
@@ -499,10 +501,13 @@ def first_objects(t):
     return resolve.first_object(e, "user_id", "head")
 
 
-@query("""SELECT user_id, 'value' AS path, coalesce(max(value) FILTER (event_type = 'click'), max(value) FILTER (event_type = 'view'))::VARCHAR AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING max(value) IS NOT NULL""")
+@query("""SELECT user_id, 'p' || user_id % 25 AS path, CASE WHEN user_id % 25 % 2 = 0 THEN coalesce(max(value) FILTER (event_type = 'click'), max(value) FILTER (event_type = 'view')) ELSE coalesce(max(value) FILTER (event_type = 'view'), max(value) FILTER (event_type = 'click')) END::VARCHAR AS value
+FROM events WHERE event_type IN ('click', 'view') AND user_id % 25 <> 7 GROUP BY 1 HAVING max(value) IS NOT NULL""")
 def field_rule_priorities(t):
-    values = t("events").where("event_type in ('click', 'view')").groupBy("user_id", F.col("event_type").alias("source")).agg(F.max("value").cast("string").alias("value")).withColumn("pos", F.lit(0)).withColumn("path", F.lit("value"))
-    rules = t("region").limit(1).select(F.lit("value").alias("path"), F.lit("click").alias("primary"), F.lit("view").alias("fallback"))
+    """One stored rule a nation; every other one takes its sources the other way round, and one is disabled by empty sources."""
+    values = t("events").where("event_type in ('click', 'view')").groupBy("user_id", F.col("event_type").alias("source")).agg(F.max("value").cast("string").alias("value")).withColumn("pos", F.lit(0)).withColumn("path", F.concat(F.lit("p"), F.col("user_id") % 25))
+    k = F.col("n_nationkey")
+    rules = t("nation").select(F.concat(F.lit("p"), k).alias("path"), F.when(k == 7, "").when(k % 2 == 0, "click").otherwise("view").alias("primary"), F.when(k == 7, None).when(k % 2 == 0, "view").otherwise("click").alias("fallback"))
     return resolve.resolve_fields(values, "user_id", resolve.field_rules(rules)).select("user_id", "path", "value")
 
 
@@ -513,10 +518,14 @@ def approval_levels(t):
     return approval.approval_levels(d, rules).select("o_orderkey", "level")
 
 
-@query("""SELECT o_orderkey, o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AS valid FROM orders""")
+@query("""SELECT o_orderkey, o_custkey % 6 NOT IN (1, 4) AS valid FROM orders""")
 def licences(t):
-    at = F.col("o_orderdate").cast("timestamp")
-    return t("orders").select("o_orderkey", approval.licence_valid(F.lit("1995-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp"), at).alias("valid"))
+    """Windows that begin or end four or six minutes off the moment asked for, or far from it: five minutes are allowed on both ends."""
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_custkey") % 6
+    minutes = lambda n: F.make_interval(mins=F.lit(n))
+    start = F.when(k == 0, at + minutes(4)).when(k == 1, at + minutes(6)).otherwise(at - minutes(9000))
+    end = F.when(k == 3, at - minutes(4)).when(k == 4, at - minutes(6)).when(k == 5, at).otherwise(at + minutes(9000))
+    return t("orders").select("o_orderkey", approval.licence_valid(start, end, at).alias("valid"))
 
 
 @query("""WITH r AS (SELECT DISTINCT p_brand AS screen, p_type AS capability FROM part) SELECT DISTINCT c_custkey % 50 AS user_id, capability FROM customer JOIN r ON screen = 'Brand#' || (11 + c_custkey % 3) WHERE c_custkey % 2 = 0
@@ -537,10 +546,12 @@ def map_concatenation(t):
     return t("orders").select("o_orderkey", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
 
 
-@query("SELECT unnest(['Beyanname.Buyer', 'Beyanname.Currency', 'Beyanname.DeliveryTerm', 'Beyanname.InvoiceDate', 'Beyanname.InvoiceNo', 'Beyanname.Origin', 'Beyanname.PaymentType', 'Beyanname.Seller', 'Beyanname.TransportMode', 'Package.TotalPackage', 'Weight.GrossKg', 'Weight.NetKg']) AS tag")
+@query("""SELECT o_orderkey, v.tag, CASE v.tag WHEN 'Beyanname.InvoiceNo' THEN o_orderkey::VARCHAR WHEN 'Beyanname.PaymentType' THEN o_orderpriority END AS value FROM orders, (SELECT unnest(['Beyanname.Buyer', 'Beyanname.Currency', 'Beyanname.DeliveryTerm', 'Beyanname.InvoiceDate', 'Beyanname.InvoiceNo', 'Beyanname.Origin', 'Beyanname.PaymentType', 'Beyanname.Seller', 'Beyanname.TransportMode', 'Package.TotalPackage', 'Weight.GrossKg', 'Weight.NetKg']) AS tag) v""")
 def xml_mapping(t):
-    m = F.map_concat(*(F.create_map(F.lit(k), F.lit(v)) for k, v in xmlout.flat_mapping().items()))
-    return t("region").limit(1).select(F.explode(m).alias("tag", "path")).select("tag")
+    """Every tag of an order's document with the value that its path has."""
+    m = F.create_map(*(F.lit(x) for kv in xmlout.flat_mapping().items() for x in kv))
+    values = F.create_map(F.lit("header.invoiceNo"), F.col("o_orderkey").cast("string"), F.lit("trade.paymentType"), F.col("o_orderpriority"))
+    return t("orders").select("o_orderkey", values.alias("values"), F.explode(m).alias("tag", "path")).select("o_orderkey", "tag", F.try_element_at("values", F.col("path")).alias("value"))
 
 
 # --- sources
@@ -744,3 +755,25 @@ def extraction_ledger(t):
     for n in (4, 8):
         ledger.run(docs, lambda d, n=n: (F.col("s_name"), F.when(F.col("k") % n == 0, "no text")))
     return ledger.latest().select("doc_id", F.col("attempt").cast("long").alias("attempt"), F.col("extractionStatus").alias("status"), F.col("extractedData").alias("data"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS key, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey::VARCHAR ELSE '' END AS nation FROM supplier""")
+def workbook_rows(t):
+    """All suppliers written as workbooks, one a task, and read back; nulls are empty cells."""
+    rows = scans.spread(t("supplier")).select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey")).alias("nation"))
+    workbooks.register(rows.sparkSession)
+    folder = f"{ordered.shared_folder(rows.sparkSession)}/workbooks-{uuid.uuid4().hex}"
+    rows.write.format("workbook").mode("append").save(folder)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.sparkSession.read.format("workbook").load(folder).where("row > 1").select(cell(0).alias("key"), cell(1).alias("name"), F.coalesce(cell(2), F.lit("")).alias("nation"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS declaration, CASE WHEN p_partkey % 5 = 0 THEN 'file' ELSE 'b.pdf' END AS name, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE length(p_name) END AS length, CASE WHEN p_partkey % 7 = 0 THEN 'FAILED' ELSE 'PENDING' END AS status, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS content FROM part""")
+def landed_uploads(t):
+    """Part names landed as uploads, and read back from where their metadata says; every seventh is empty."""
+    k = F.col("p_partkey")
+    up = t("part").select(F.lit("c").alias("companyId"), k.cast("string").alias("declarationId"), F.lit("INVOICE").alias("type"), F.when(k % 5 > 0, "../a/b.pdf").alias("fileName"), F.when(k % 7 > 0, F.encode("p_name", "UTF-8")).alias("content"))
+    folder = f"{ordered.shared_folder(up.sparkSession)}/uploads-{uuid.uuid4().hex}".removeprefix("file:").replace("///", "/")
+    meta = landing.land(scans.spread(up), folder)
+    there = up.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/bytes").select(F.regexp_replace("path", "^file:/*", "/").alias("filePath"), F.decode("content", "UTF-8").alias("content"))
+    return meta.join(there, "filePath", "left").select(F.col("declarationId").alias("declaration"), F.col("fileName").alias("name"), "length", F.col("extractionStatus").alias("status"), "content")

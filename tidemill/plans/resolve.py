@@ -40,9 +40,10 @@ def priority_table(spark: SparkSession, rules: dict[str, list[str]] | None = Non
 def resolve_fields(values: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """(key, path, value, source): the first non-empty value by source priority, then position. Sources without a rule don't count.
 
-    values: (key, source, pos, path, value). The rules (path, source, priority) are a literal table of a few dozen rows.
+    values: (key, source, pos, path, value). The rules are (path, source, priority): a literal table of a few dozen rows, which Spark
+    broadcasts by its known size, or a stored one of any size.
     """
-    known = values.where(~is_empty(F.col("value"))).join(F.broadcast(rules), ["path", "source"])
+    known = values.where(~is_empty(F.col("value"))).join(rules, ["path", "source"])
     return known.groupBy(key, "path").agg(F.min_by(F.struct("value", "source"), F.struct("priority", "pos")).alias("best")).select(key, "path", "best.value", "best.source")
 
 
