@@ -153,7 +153,8 @@ class Pages:
     def page(self, number: int, size: int) -> DataFrame:
         """Rows of a page, numbered from 1, in order; none behind the last."""
         first, last = (number - 1) * size, number * size
-        held = [(p, at, end) for (p, at), end in zip(self.ranges, [*(a for _, a in self.ranges[1:]), self.total], strict=True) if at < last and end > first]
+        ends = [at for _, at in self.ranges[1:]] + [self.total] * bool(self.ranges)
+        held = [(p, at, end) for (p, at), end in zip(self.ranges, ends, strict=True) if at < last and end > first]
         rows = self.rows.where(F.col("_range").isin([p for p, _, _ in held]))
         skip = first - held[0][1] if held else 0
         return rows.orderBy(*self.order).offset(skip).limit(size).drop("_range")
