@@ -300,6 +300,8 @@ def encode(docs: DataFrame, digest: Callable[[bytes, str], dict], schema: str, t
 
 
 def op4_fst_bpe(spark, sf_dir):
+    """Encode and decode every row of documents; a null text is empty, null and repeated ids give a row each, other columns are ignored."""
+
     def digest(ids: bytes, text: str) -> dict:
         return {"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()}
 

@@ -197,6 +197,7 @@ def told_apart(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
 
 
 def op10_ngram_join(spark, sf_dir):
+    """Class and number of links of every row of documents; odd rows as in told_apart."""
     return near_classes(table(spark, sf_dir, "documents"))
 
 
