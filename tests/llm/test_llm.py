@@ -117,6 +117,51 @@ def test_line_dedup_threshold_grows_with_length(spark, monkeypatch):
         assert got == want, hot
 
 
+@pytest.mark.parametrize(("hot", "worth"), [(64, 2000), (4, 40)])
+def test_line_dedup_of_lines_with_another_word(spark, monkeypatch, tmp_path, hot, worth):
+    """Lines with another word go, as by brute force; one edit leaves nearly all of them."""
+    from tidemill.llm import queries
+
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "WORTH", worth)
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghilmnoprstué") for _ in range(r.randint(2, 9))) for _ in range(60)]
+    base = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (6, 7, 9, 12, 12, 16, 25, 40)]
+
+    def changed(s):
+        w = s.split(" ")
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            i = r.randrange(len(w))
+            w[i : i + 1] = r.choice([[], [r.choice(vocabulary)], [r.choice(vocabulary)], [w[i], r.choice(vocabulary)], [w[i], ""]])
+        return " ".join(w)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    docs = [(i, "\n".join(changed(r.choice(base)) for _ in range(3))) for i in range(50)]
+    seen, want = [], {}
+    for i, t in docs:
+        keep = []
+        for x in t.split("\n"):
+            a = x.split(" ")
+            others = [(s, s.split(" ")) for s in seen if min(len(x), len(s)) >= 32]
+            if x not in seen and not any(one_edit(x, s) or (min(len(a), len(b)) >= 5 and distance(a, b) <= 1 + min(len(a), len(b)) // 16) for s, b in others):
+                keep.append(x)
+            seen.append(x)
+        want[i] = "\n".join(keep)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.queries()["op1_line_dedup_words"](spark, str(tmp_path)).collect()}
+    assert {i: x.text for i, x in got.items()} == want
+    one = line_dedup.dedup_lines(df).agg(F.sum("n_dropped")).first()[0]
+    assert sum(x.n_dropped for x in got.values()) > one + 30
+
+
 def test_one_hot_segment_beside_cool_ones(spark, monkeypatch):
     """A segment that half of all lines share is split, whatever the many small hot ones would allow on average."""
     monkeypatch.setattr(line_dedup, "HOT", 4)

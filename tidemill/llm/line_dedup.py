@@ -49,6 +49,16 @@ def grown(size: Column) -> Column:
     return F.length(F.bin(size.cast("long"))) - 5
 
 
+def other_words(size: Column) -> Column:
+    """A threshold on words: one of five or more, one more at every sixteen words; none of fewer."""
+    return F.when(size < 5, 0).otherwise(F.least(F.lit(MOST_EDITS), 1 + F.floor(size / 16).cast("int")))
+
+
+def coded(line: Column) -> Column:
+    """One character for each word of a line, blanks parting words: equal words have equal ones, and few others share them."""
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(line, " ", -1), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xC000)) + 0x1000)), "")), "UTF-16BE")
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -58,21 +68,23 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def within_edits(x: Column, y: Column, edits: Column | int) -> Column:
-    """Whether the edit distance of two strings is at most `edits`, which is MOST_EDITS at most.
+def within_edits(x: Column, y: Column, edits: Column | int, by_words: bool = False) -> Column:
+    """Whether the edit distance of two strings, or that of their words, is at most `edits`, which is MOST_EDITS at most.
 
     Bit i of a vector stands for row j - edits + i of column j, so that the band moves down one row a column and fits one long.
     vp and vn say where a row is one more or one less than the row before it; the distance is followed along the band's lower
     rim until that meets the last row, and then along that row.
     """
     edits = F.lit(edits) if isinstance(edits, int) else edits
+    length = (lambda v: F.size(F.split(v, " ", -1))) if by_words else F.length
+    units = (lambda v: F.split(v, " ", -1)) if by_words else (lambda v: F.slice(F.split(v, ""), F.lit(1), F.length(v)))
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     left = lambda v, n: F.call_function("shiftleft", v, n)
     right = lambda v, n: F.call_function("shiftright", v, n)
     both = lambda *v: v[0] if len(v) == 1 else v[0].bitwiseAND(both(*v[1:]))
     either = lambda *v: v[0] if len(v) == 1 else v[0].bitwiseOR(either(*v[1:]))
     given = F.struct(
-        F.split(x, "").alias("x"), F.slice(F.split(y, ""), F.lit(1), F.length(y)).alias("y"), F.length(x).alias("n"), F.length(y).alias("m"), edits.cast("int").alias("t"),
+        units(x).alias("x"), units(y).alias("y"), length(x).alias("n"), length(y).alias("m"), edits.cast("int").alias("t"),
         F.sequence(F.lit(0), 2 * edits.cast("int")).alias("rows"), (left(one, 2 * edits.cast("int") + 1) - 1).alias("full"),
     )
 
@@ -99,7 +111,7 @@ def within_edits(x: Column, y: Column, edits: Column | int) -> Column:
         start = F.struct((full - left(one, t) + 1).alias("vp"), zero.alias("vn"), F.least(t, g["n"]).cast("long").alias("dist"), F.lit(0).alias("j"))
         return F.aggregate(F.transform(g["y"], mask), start, step)["dist"]
 
-    return F.when(F.abs(F.length(x) - F.length(y)) > edits, F.lit(False)).when(x == y, F.lit(True)).otherwise(bound(given, distance) <= edits)
+    return F.when(F.abs(length(x) - length(y)) > edits, F.lit(False)).when(x == y, F.lit(True)).otherwise(bound(given, distance) <= edits)
 
 
 def cores(x: Column, y: Column) -> Column:
@@ -218,28 +230,39 @@ def cut_up(rows: DataFrame, every: bool = True) -> DataFrame:
     return rows.withColumn("key", key).withColumn("own", F.col("own") & (F.col("shift") == 0)).drop("ahead", "j", "shift", "salt")
 
 
-def near_lines(lines: DataFrame, edits: Edits, near_least: int) -> DataFrame:
-    """id: distinct lines of near_least characters or more that have such an earlier line within edits(length of the shorter). Stored."""
+def near_lines(lines: DataFrame, edits: Edits, near_least: int, by_words: bool = False) -> DataFrame:
+    """id: distinct lines of near_least characters or more that have such an earlier line within edits(length of the shorter). Stored.
+
+    by_words: lengths and edits count words. Candidates are then found by one character for each word, which loses no pair, and
+    verified on the words themselves.
+    """
     texts = lines.where(F.col("size") >= near_least)
     size, base = F.col("size"), F.col("base")
+    unit, kept = ("code", ["line", "code"]) if by_words else ("line", ["line"])
+    if by_words:
+        texts = texts.withColumn("code", coded(F.col("line"))).withColumn("size", F.length("code")).where(edits(size) > 0)
     spread = texts.withColumn("base", F.explode(classes(size, edits(size)))).withColumn("own", base == class_of(size))
     # thresholds never fall with length, so the longest of a class has the largest
-    spread = spread.withColumn("edits", edits(base + class_width(base) - 1).cast("int")).withColumn("salt", F.lit(0)).withColumn("n", size).withColumnRenamed("line", "s")
+    spread = spread.withColumn("edits", edits(base + class_width(base) - 1).cast("int")).withColumn("salt", F.lit(0)).withColumn("n", size).withColumn("s", F.col(unit)).drop(*kept)
     rows = cut_up(spread)
     short = lambda x, y: edits(F.least(x, y)).cast("int")
 
+    def near(x: Column, y: Column, most: Column) -> Column:
+        told = bound(F.struct(cores(x[unit], y[unit]).alias("c"), most.alias("most")), lambda g: reaches_end(g["c"]["x"], g["c"]["y"], g["most"]) & (F.lit(True) if by_words else within_edits(g["c"]["x"], g["c"]["y"], g["most"])))
+        return told & within_edits(x["line"], y["line"], most, True) if by_words else told
+
     def verified(pairs: DataFrame) -> DataFrame:
         """id of the later line of each pair (a, b) of ids that is near."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = stored(texts.join(sized(ids, 2 * pairs.count()), "id", "left_semi").select("id", "at", "line", letter_counts(F.col("line")).alias("letters")), "texts")
-        side = lambda c: wanted.select(F.col("id").alias(c), F.struct("at", "line", "letters").alias(f"at_{c}"))
+        wanted = stored(texts.join(sized(ids, 2 * pairs.count()), "id", "left_semi").select("id", "at", *kept, letter_counts(F.col(unit)).alias("letters")), "texts")
+        side = lambda c: wanted.select(F.col("id").alias(c), F.struct("at", *kept, "letters").alias(f"at_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        x, y = F.col("at_a.line"), F.col("at_b.line")
-        most = short(F.length(x), F.length(y))
+        x, y = F.col("at_a"), F.col("at_b")
+        most = short(F.length(x[unit]), F.length(y[unit]))
         # an edit changes two counts by one at most, so few pairs need the whole distance; these are spread over all tasks, small as they are
         both = both.where(apart(F.col("at_a.letters"), F.col("at_b.letters")) <= 2 * most).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-        later = both.where(bound(F.struct(cores(x, y).alias("c"), most.alias("most")), lambda g: reaches_end(g["c"]["x"], g["c"]["y"], g["most"]) & within_edits(g["c"]["x"], g["c"]["y"], g["most"]))).select(F.when(F.col("at_a.at") > F.col("at_b.at"), F.col("a")).otherwise(F.col("b")).alias("id"))
+        later = both.where(near(x, y, most)).select(F.when(F.col("at_a.at") > F.col("at_b.at"), F.col("a")).otherwise(F.col("b")).alias("id"))
         out = stored(later.distinct(), "near")
         discard(pairs, wanted)
         return out
@@ -259,7 +282,7 @@ def near_lines(lines: DataFrame, edits: Edits, near_least: int) -> DataFrame:
         rows = stored(rows.groupBy("key", "id").agg(F.max("own").alias("own")), "met")
         parts = stored(rows.groupBy("key").agg(F.ceil(F.count_if("own") * F.count("*") / PART_PAIRS).cast("int").alias("parts")), "parts")
         keys = rows.groupBy("id").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set("key").alias("keys"))
-        info = stored(texts.join(keys, "id").select("id", F.struct("at", "line", "size", letter_counts(F.col("line")).alias("letters"), "own_keys", "keys").alias("it")), "met-texts")
+        info = stored(texts.join(keys, "id").select("id", F.struct("at", *kept, "size", letter_counts(F.col(unit)).alias("letters"), "own_keys", "keys").alias("it")), "met-texts")
         dealt = rows.join(sized(parts, parts.count()), "key").where("parts > 0").join(info, "id")
         own = dealt.where("own").select("key", F.col("id").alias("a"), F.col("it").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         every = dealt.select("key", F.col("id").alias("b"), F.col("it").alias("y"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
@@ -267,8 +290,7 @@ def near_lines(lines: DataFrame, edits: Edits, near_least: int) -> DataFrame:
         most = short(x["size"], x["size"])
         cheap = (F.col("a") != F.col("b")) & ((y["size"] > x["size"]) | ((y["size"] == x["size"]) & (F.col("a") < F.col("b")))) & (y["size"] - x["size"] <= most) & (apart(x["letters"], y["letters"]) <= 2 * most)
         first = F.col("key") == F.array_min(F.array_intersect(x["own_keys"], y["keys"]))
-        near = bound(F.struct(cores(x["line"], y["line"]).alias("c"), most.alias("most")), lambda g: reaches_end(g["c"]["x"], g["c"]["y"], g["most"]) & within_edits(g["c"]["x"], g["c"]["y"], g["most"]))
-        pairs = own.join(every, ["key", "part"]).where(cheap & first & near)
+        pairs = own.join(every, ["key", "part"]).where(cheap & first & near(x, y, most))
         out = stored(pairs.select(F.when(x["at"] > y["at"], F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "near")
         discard(rows, parts, info)
         return out
@@ -291,7 +313,7 @@ def near_lines(lines: DataFrame, edits: Edits, near_least: int) -> DataFrame:
         rows = stored(detailed(rows.join(sized(hot, n_hot), "key", "left_semi")), "hot")
     while n_hot:
         # each key by itself: the lines of a small one meet one another; a larger one is split once more, unless nothing is left to split
-        sizes = stored(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.max("base").alias("base")).select("key", ((F.col("n") <= WORTH) | (F.col("base") < 2)).alias("small")), "sizes")
+        sizes = stored(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.max("base").alias("base"), F.max("edits").alias("edits")).select("key", ((F.col("n") <= WORTH) | (F.col("base") <= F.col("edits"))).alias("small")), "sizes")
         n_small, n_keys = sizes.agg(F.count_if("small"), F.count("*")).first()
         if n_small:
             small = rows.join(sized(sizes.where("small"), n_small), "key", "left_semi") if n_small < n_keys else rows
@@ -319,19 +341,23 @@ def near_lines(lines: DataFrame, edits: Edits, near_least: int) -> DataFrame:
     return found
 
 
-def dedup_lines(docs: DataFrame, edits: Edits = one_edit, least: int = 1, near_least: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: Edits = one_edit, least: int = 1, near_least: int | None = None, words: Edits | None = None) -> DataFrame:
     """All columns of docs with its text cut to the lines that stay, and n_lines, n_dropped (long) of each row.
 
     Lines are parts between line feeds. A line of `least` characters or more goes if an earlier line of the corpus is equal; one of
     near_least (MIN_CHARS unless given) characters or more also if an earlier one of that length is within edits(length of the shorter), a threshold that
-    must not fall with length, and be a ninth of it and MOST_EDITS at most. Empty lines, and rows without an id, stay as they are. A null text stays null with 0 lines, an empty one is one
+    must not fall with length, and be a ninth of it and MOST_EDITS at most. With `words`, a line also goes if an earlier one of near_least
+    characters is within words(words of the shorter) other, more or fewer words: one, or an eighth of them, and MOST_EDITS at most. Empty lines, and rows without an id, stay as they are. A null text stays null with 0 lines, an empty one is one
     empty line. Rows that repeat an id with another text are documents of their own, in an order by a hash of the text; rows that repeat
     both count as one document, whose rows all keep what it keeps. Columns called n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
     near_least = MIN_CHARS if near_least is None else near_least
     lines = first_lines(docs.select("doc_id", "text"), least, near_least)
-    kept = lines.join(near_lines(lines, edits, near_least), "id", "left_anti").groupBy("at.doc_id", "at.text_hash").agg(F.collect_set("at.pos").alias("_kept"))
+    near = near_lines(lines, edits, near_least)
+    if words:
+        near = near.unionByName(near_lines(lines, words, near_least, True)).distinct()
+    kept = lines.join(near, "id", "left_anti").groupBy("at.doc_id", "at.text_hash").agg(F.collect_set("at.pos").alias("_kept"))
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     # one column of others, so that none of their names can clash
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"), F.struct(F.lit(0), *other).alias("other")).join(kept, ["doc_id", "text_hash"], "left")
@@ -348,6 +374,11 @@ def op1_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_line_dedup_words(spark, sf_dir):
+    """Exact repeats of every line that is not empty, and lines of 32 characters or more at one edit, or at as many words as other_words allows."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=other_words)
+
+
 #: Of two lines within one edit and of 32 characters or more, the first or the last 15 characters agree; that finds the candidates.
 OP1_SQL = """
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),

@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op1_line_dedup_words": line_dedup.op1_line_dedup_words,
         "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_quality_crf": quality.op3_quality_crf,
         "op4_fst_bpe": lexicon.op4_fst_bpe,
