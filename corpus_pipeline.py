@@ -6,29 +6,53 @@ documents. run() writes each stage's rows as Parquet into the shared folder and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import language, line_dedup, ngram_join, packing, secret_scan
-from tidemill.llm.common import bounded_sample, fold, stored, table
+from tidemill.llm.common import fold, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Labelled rows outside the fit that the least score is calibrated on: bounds the work, as the score of each is asked.
-CALIBRATION = 3000
 #: Share of rightly told rows that may lie under the level found there, and the part of that level which rejects.
 TAIL, PART = 0.001, 0.6
+#: Bins of a round in which ranks are followed: a round gathers so many counts at most for each of two ranks of a size.
+BINS = 256
+
 
+def low_levels(scores: DataFrame) -> dict[int, float]:
+    """The score that a share of TAIL lies under, of each size in scores (size, score), as percentile() tells it from all rows.
 
-def least_score(docs: DataFrame, model: language.Model) -> Column:
-    """The score under which a text is of no language that the machines know, by labelled docs outside the fit; 0 without any.
+    The two ranks at that place are followed by rounds of histograms until one value is left, so no group is gathered whole.
+    """
+    spans = scores.groupBy("size").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    at = {r["size"]: TAIL * (r["n"] - 1) for r in spans}
+    found = {(r["size"], rank): (0, r["lo"], r["hi"]) for r in spans for rank in {math.floor(at[r["size"]]), math.ceil(at[r["size"]])}}
+    bin_ = F.least(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("bin")
+    while wide := [(*key, *span[1:]) for key, span in found.items() if span[1] < span[2]]:
+        asked = scores.sparkSession.createDataFrame(wide, "size int, rank long, lo double, hi double")
+        met = scores.join(F.broadcast(asked), "size").where("score between lo and hi")
+        bins = met.groupBy("size", "rank", bin_).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most")).collect()
+        below = {(size, rank): found[size, rank][0] for size, rank, *_ in wide}
+        for size, rank, _, n, least, most in sorted(bins):
+            if below[size, rank] <= rank < below[size, rank] + n:
+                found[size, rank] = (below[size, rank], least, most)
+            below[size, rank] += n
+    low, high = ({size: found[size, side(x)][1] for size, x in at.items()} for side in (math.floor, math.ceil))
+    return {size: low[size] if low[size] == high[size] else (math.ceil(x) - x) * low[size] + (x - math.floor(x)) * high[size] for size, x in at.items()}
+
+
+def least_score(told: DataFrame) -> Column:
+    """The score under which a text is of no language that the machines know, by all labelled rows of told, which are outside the fit; 0 without any.
 
     Short texts score low and may be fine, so every doubling of length has its own level, and a length that no such doc has takes the lowest.
+    Rows that repeat id, lang and text count once.
     """
     size = F.length(F.bin(F.length("text").cast("long")))
-    sample = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", ["doc_id", "text"], CALIBRATION, CALIBRATION)
-    right = language.identify(sample, model).where("lang_pred = lang").groupBy(size.alias("size")).agg(F.percentile("score", F.lit(TAIL)).alias("level"))
-    levels = {r["size"]: PART * r["level"] for r in right.collect()}
+    right = told.where("lang_pred = lang").select("doc_id", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), size.alias("size"), "score")
+    levels = {size: PART * level for size, level in low_levels(stored(right.distinct().select("size", "score"), "scores")).items()}
     least = F.lit(min(levels.values(), default=0.0))
     for n, level in sorted(levels.items()):
         least = F.when(size == n, level).otherwise(least)
@@ -46,8 +70,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs.where(~out))
     if model.top is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    told = language.identify(docs.select(*COLUMNS), model)
-    least = least_score(docs.where(out), model)
+    told = stored(language.identify(docs.select(*COLUMNS), model), "told")
+    least = least_score(told.where(out))
     return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*COLUMNS)
 
 

@@ -714,6 +714,29 @@ def test_pipeline_rejects_unknown_languages(spark):
     assert {x.doc_id for x in P.identify_language(spark, frame(spark, docs + junk), "").collect()} == {d[0] for d in docs}
 
 
+def test_pipeline_levels_come_from_all_held_out_documents(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(P, "PART", 1.0)
+    r = random.Random(5)
+    made = {"en": "the and thing which that with from have".split(), "fr": "le été eau que dans une pour avec".split()}
+    other = sum(made.values(), [])
+    docs = [(i, " ".join(r.choice(other if r.random() < 0.3 else made[x]) for _ in range(r.choice([6, 14]))), x, "s", 1) for i, x in enumerate(["en", "fr"] * 7000)]
+    df = frame(spark, docs + docs[:50])
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    told = language.identify(df, language.fit(df.where("crc32(cast(doc_id as string)) % 3 <> 1"))).distinct().collect()
+    scores = {}
+    for x in told:
+        if held(x.doc_id) and x.lang_pred == x.lang:
+            scores.setdefault(len(x.text).bit_length(), []).append(x.score)
+    assert sum(map(len, scores.values())) > 4000
+    level = {n: float(np.percentile(s, 0.1)) for n, s in scores.items()}
+    got = P.low_levels(spark.createDataFrame([(n, s) for n, each in scores.items() for s in each], "size int, score double"))
+    assert got == pytest.approx(level, rel=1e-12)
+    kept = {x.doc_id for x in P.identify_language(spark, df, "").collect()}
+    assert kept == {x.doc_id for x in told if x.score >= got.get(len(x.text).bit_length(), min(got.values()))}
+
+
 def test_pipeline_without_known_languages(spark):
     import corpus_pipeline as P
 
