@@ -4,6 +4,7 @@ import base64
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,19 @@ def test_language_fit_on_one_id_and_dirty_langs(spark):
     assert {"en", "de"} <= set(known) and len(known) <= MOST_CLASSES
 
 
+def test_language_fit_holds_its_sample_once(spark):
+    """Two full samples are 2,000 vectors of 8 KB at half width; the driver must not hold wide copies of all of them."""
+    rows = [(i, f"{'the wood' if i % 2 else 'der wald'} {i:x}\n{'and sea' if i % 2 else 'und see'} {i * 7:x}", "en" if i % 2 else "de") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit(df.limit(10))
+    tracemalloc.start()
+    model = language.fit(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert [model.predict(t)[0] for t in ("the wood and sea", "der wald und see")] == ["en", "de"]
+
+
 def test_votes_are_recounted(spark):
     """The ladder's decision, and the family before it, from each machine's own margin."""
     r = np.random.default_rng(4)

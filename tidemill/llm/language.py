@@ -18,6 +18,8 @@ SAMPLE = 500
 #: And of all languages together.
 SAMPLE_ALL = 3000
 BUCKETS = 4096
+#: Vectors of half floats that a machine widens at a time, and those that it keeps wide: bounds what the fit holds besides the sample.
+BLOCK, WIDE = 256, 1024
 UNKNOWN = "und"
 
 # Families of common language codes. A code not listed is a family of its own.
@@ -59,30 +61,37 @@ def vector(text: str | None) -> np.ndarray | None:
     return np.sqrt(np.bincount(at, minlength=BUCKETS) / len(at), dtype=np.float32) if len(at) else None
 
 
-def machine(X: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge, classes weighed alike) by accelerated descent; y is -1 or 1."""
-    n, d = X.shape
+def machine(X: np.ndarray, rows: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge, classes weighed alike) of some rows of X by accelerated descent; y is -1 or 1."""
+    n, d = len(rows), X.shape[1]
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    wide = lambda at: X[rows[at : at + BLOCK]].astype(np.float32)
+    held = [wide(at) for at in range(0, min(n, WIDE), BLOCK)]
     w, v, b, vb = np.zeros(d, np.float32), np.zeros(d, np.float32), 0.0, 0.0
     rate = 1.0 / (4 + l2)  # rows are unit vectors, and the bias adds one
     for t in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (X @ v + vb)) * weight * y
-        nw, nb = v + rate * (2 * (slack @ X) - l2 * v), vb + rate * 2 * float(slack.sum())
+        pulled, bias = np.zeros(d, np.float32), 0.0
+        for k, x in enumerate(itertools.chain(held, map(wide, range(len(held) * BLOCK, n, BLOCK)))):
+            own = slice(k * BLOCK, (k + 1) * BLOCK)
+            slack = np.maximum(0, 1 - y[own] * (x @ v + vb)) * weight[own] * y[own]
+            pulled += slack @ x
+            bias += float(slack.sum())
+        nw, nb = v + rate * (2 * pulled - l2 * v), vb + rate * 2 * bias
         pull = (t - 1) / (t + 2)
         v, vb, w, b = nw + pull * (nw - w), nb + pull * (nb - b), nw, nb
     return w, float(b)
 
 
 class Ladder:
-    """Votes between every two of some classes, each pair by its own machine."""
+    """Votes between every two of some classes, each pair by its own machine. Learns from some rows of X, which are not copied whole; names: the class of each."""
 
-    def __init__(self, X: np.ndarray, names: np.ndarray) -> None:
+    def __init__(self, X: np.ndarray, rows: np.ndarray, names: np.ndarray) -> None:
         self.names = sorted(set(names.tolist()))
         self.pairs = list(itertools.combinations(range(len(self.names)), 2))
         fits = []
         for a, b in self.pairs:
-            rows = np.flatnonzero((names == self.names[a]) | (names == self.names[b]))
-            fits.append(machine(X[rows], np.where(names[rows] == self.names[a], 1, -1).astype(np.float32)))
+            of = np.flatnonzero((names == self.names[a]) | (names == self.names[b]))
+            fits.append(machine(X, rows[of], np.where(names[of] == self.names[a], 1, -1).astype(np.float32)))
         self.W = np.array([w for w, _ in fits], np.float32).reshape(len(fits), X.shape[1])
         self.b = np.array([b for _, b in fits], np.float32)
 
@@ -106,8 +115,8 @@ class Model:
 
     def __init__(self, X: np.ndarray, langs: np.ndarray) -> None:
         families = np.array([family(x) for x in langs.tolist()], object)
-        self.top = Ladder(X, families) if len(langs) else None
-        self.within = {f: Ladder(X[families == f], langs[families == f]) for f in set(families.tolist())}
+        self.top = Ladder(X, np.arange(len(langs)), families) if len(langs) else None
+        self.within = {f: Ladder(X, np.flatnonzero(families == f), langs[families == f]) for f in set(families.tolist())}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         x = vector(text)
@@ -121,7 +130,8 @@ class Model:
 def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
     """Machines from at most about per_lang documents of each non-null lang, and SAMPLE_ALL in all. Each gives its whole text and, as short texts
     are harder, one of its lines by itself. Of more than common.MOST_CLASSES languages the most frequent are learned. Rows that repeat id, lang
-    and text count once. Without such documents every prediction is `und`."""
+    and text count once. Vectors are mostly noughts, so they come to the driver deflated and are held there as half floats. Without such
+    documents every prediction is `und`."""
 
     def work(rows: dict) -> dict:
         out: dict[str, list] = {"doc_id": [], "lang": [], "x": []}
@@ -131,12 +141,14 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
                 if (x := vector(t)) is not None:
                     out["doc_id"].append(i)
                     out["lang"].append(lang)
-                    out["x"].append(x.astype(np.float16).tobytes())
+                    out["x"].append(zlib.compress(x.astype(np.float16).tobytes(), 1))
         return out
 
     chosen = bounded_sample(docs.where("text is not null").select("doc_id", "lang", "text"), "lang", ["doc_id", "text"], per_lang, SAMPLE_ALL)
     got = sorted(map(tuple, map_slices(chosen, work, "doc_id long, lang string, x binary").collect()), key=lambda r: (r[0] if r[0] is not None else -1, r[1], bytes(r[2])))
-    X = np.stack([np.frombuffer(x, np.float16) for _, _, x in got]).astype(np.float32) if got else np.zeros((0, BUCKETS), np.float32)
+    X = np.empty((len(got), BUCKETS), np.float16)
+    for i, (_, _, x) in enumerate(got):
+        X[i] = np.frombuffer(zlib.decompress(x), np.float16)
     return Model(X, np.array([x for _, x, _ in got], object))
 
 
