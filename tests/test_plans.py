@@ -81,6 +81,16 @@ def test_spatial_items(spark):
     assert src.item_count == 1 and src.goods[0].line_total == 200.0
 
 
+def test_items_broadcast_no_words(spark, tmp_path):
+    """Words exploded from a small file look as small as it; the joins of items must not send them through the driver."""
+    line = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(s).alias("text"), F.lit(x).alias("x0"), F.lit(800.0).alias("y0"), F.lit(x + 60).alias("x1"), F.lit(820.0).alias("y1"), F.lit(0.9).alias("score")) for i, (x, s) in enumerate(((100.0, "AB.CE.101"), (500.0, "2 ADET"), (1100.0, "731815000012")))))
+    spark.range(20).write.parquet(str(tmp_path / "docs"))
+    words = spark.read.parquet(str(tmp_path / "docs")).select(F.col("id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.explode(line).alias("w")).select("doc_id", "page", "w.*")
+    items = extract_spatial.extract_items(words)
+    assert "Broadcast" not in items._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((int(i.doc_id), i.gtip, i.quantity, i.product_code_full) for i in items.collect()) == [(k, "731815000012", "2", "AB.CE.101") for k in range(20)]
+
+
 def test_resolution(spark):
     rows = [("d", "E_INVOICE_XML", 0, "header.invoiceNo", "X2"), ("d", "INVOICE", 1, "header.invoiceNo", ""), ("d", "INVOICE", 2, "header.invoiceNo", "A1"), ("d", "PACKING_LIST", 3, "header.invoiceNo", "P"), ("d", "INVOICE", 1, "parties.buyer.address", "Fő utca Hungary"), ("d", "INVOICE", 1, "parties.seller.country", "Germany")]
     values = spark.createDataFrame(rows, "id string, source string, pos int, path string, value string")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both sides. For exploded rows: Spark takes their size from the file that they come from, and would broadcast them whole."""
+    return df.hint("merge")
+
+
 def left_with_default(left: DataFrame, right: DataFrame, on: str, defaults: dict[str, object]) -> DataFrame:
     """All left rows with the right side's columns, or defaults where there is no match."""
     return left.join(right.select(on, *defaults), on, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})

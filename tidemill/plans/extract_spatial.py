@@ -2,7 +2,8 @@
 
 Words stay rows. What is asked of a word (its folded text, its money texts and so on) is worked out once for each. The columns of a
 page are one summary a page. A tariff-code candidate meets the words of its own band through a join on page and band of y,
-and the words of its description through another, so that no page is copied to its items.
+and the words of its description through another, so that no page is copied to its items. Words are often exploded from smaller rows, so
+these joins sort both sides and broadcast none.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import comma_decimal, money_values, repaired_quantity, resplit_quantity_price
 from ..functions.text import bare_code, fold_upper, product_code, repair_digits, repair_transport
+from ..operators.joins import by_merge
 
 # Geometry on the common canvas, words of the fields, header names of the columns.
 CANVAS = (1700.0, 2500.0)
@@ -209,7 +211,7 @@ def lines_at(rows: DataFrame, words: DataFrame, reach: float, value: Column, nam
     keys = ["doc_id", "page", "y", "at", "run"]
     band = F.floor(F.col("y0") / reach).cast("long")
     dealt = words.select("doc_id", "page", "y0", value.alias("word"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    met = rows.withColumn("band", F.floor(F.col("y") / reach).cast("long")).join(dealt, ["doc_id", "page", "band"]).where(F.abs(F.col("y0") - F.col("y")) <= reach)
+    met = rows.withColumn("band", F.floor(F.col("y") / reach).cast("long")).join(by_merge(dealt), ["doc_id", "page", "band"]).where(F.abs(F.col("y0") - F.col("y")) <= reach)
     others = [c for c in rows.columns if c not in keys]
     return met.groupBy(*keys).agg(*(F.first(c).alias(c) for c in others), F.array_sort(F.collect_set("word")).alias(name))
 
@@ -231,7 +233,7 @@ def with_descriptions(items: DataFrame, words: DataFrame, pages: DataFrame) -> D
     """
     keys = ["doc_id", "page", "y", "at", "run"]
     code, y, mark, band = F.col("product_code"), F.col("y"), "\x01", 100.0
-    on_page = items.join(pages, ["doc_id", "page"])
+    on_page = items.join(by_merge(pages), ["doc_id", "page"])
     at = F.call_function("instr", F.col("page_text"), fold_upper(code))
     ahead = F.substring(F.col("page_text"), F.lit(1), at)
     own = F.when(code.isNotNull() & (at > 0), F.get("page_ys", F.length(ahead) - F.length(F.replace(ahead, F.lit(mark), F.lit("")))))
@@ -243,7 +245,7 @@ def with_descriptions(items: DataFrame, words: DataFrame, pages: DataFrame) -> D
     spread = on_page.select(*keys, F.struct(*others).alias("item"), "top", "bottom", F.explode(F.when(F.col("bottom") >= F.col("top") - ABOVE, bands).otherwise(F.array(F.lit(0).cast("long")))).alias("band"))
     rows = words.where((F.col("x0") >= DESCRIPTION_X[0]) & (F.col("x0") <= DESCRIPTION_X[1]) & (F.col("t") != "")).select(F.col("doc_id").alias("w_doc"), F.col("page").alias("w_page"), F.floor(F.col("y0") / band).cast("long").alias("w_band"), F.struct("y0", "x0", "pos", "f", "t").alias("word"))
     near = (F.col("doc_id") == F.col("w_doc")) & (F.col("page") == F.col("w_page")) & (F.col("band") == F.col("w_band")) & (F.col("word.y0") >= F.col("top") - ABOVE) & (F.col("word.y0") < F.col("bottom"))
-    met = spread.join(rows, near, "left").groupBy(*keys).agg(F.first("item").alias("item"), F.array_sort(F.collect_set("word")).alias("rows"))
+    met = spread.join(by_merge(rows), near, "left").groupBy(*keys).agg(F.first("item").alias("item"), F.array_sort(F.collect_set("word")).alias("rows"))
     kept = F.filter("rows", lambda w: ~w["f"].isin(*SKIP_WORDS, *SKIP_COUNTRIES) & ~F.coalesce(bare_code(F.col("item.product_code")) == F.translate(w["f"], "-. ", ""), F.lit(False)) & ~_like(w["f"], r"^\d{1,3}$"))
     met = met.withColumn("rows", kept)
     stop = F.array_position(F.transform("rows", lambda w: w["f"].isin(*STOP_WORDS)), True)
@@ -278,7 +280,7 @@ def extract_items(words: DataFrame) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("y0", "x0", "pos", "f")))
     texts_of = w.groupBy("doc_id", "page").agg(order.alias("ws"), F.collect_set(F.when(dotted, F.col("y0"))).alias("page_codes"))
     texts_of = texts_of.select("doc_id", "page", F.array_join(F.transform("ws", lambda x: x["f"]), "\x01").alias("page_text"), F.transform("ws", lambda x: x["y0"]).alias("page_ys"), "page_codes")
-    c = c.join(page_columns(w), ["doc_id", "page"])
+    c = c.join(by_merge(page_columns(w)), ["doc_id", "page"])
     boxes = F.struct(F.col("gtip_box").alias("gtip"), *(value_box(F.col("line"), F.col(v), y, F.col(f"col_{f}"), e).alias(v) for v, f, e in (("product_code", "PRODUCT", False), ("quantity", "QTY", True), ("unit_price", "PRICE", True), ("amount", "AMOUNT", True))))
     c = c.withColumn("boxes", boxes).select("doc_id", "page", "y", "at", "run", "gtip", "product_code", "product_code_full", "currency", "delivery_term", "transport_mode", "quantity", "unit", "unit_price", "amount", "needs_review", "raw_line", "boxes")
     c = with_descriptions(c, w, texts_of)
