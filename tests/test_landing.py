@@ -58,6 +58,27 @@ def test_uploads_land_whole(spark, tmp_path):
     assert landing.sweep(spark, folder) == 0 and landing.stored_uploads(spark, folder).count() == 6
 
 
+def test_bytes_are_read_and_swept_by_tasks(spark, tmp_path, monkeypatch):
+    """No folder of all uploads is listed on the driver: contents go by the paths of the metadata, sweeping lists level by level."""
+    folder = str(tmp_path / "up")
+    rows = [(f"c{i % 2}", f"d{i % 9}", "X", f"{i}.pdf", bytearray(b"%d" % i) * (i % 5)) for i in range(60)]
+    meta = landing.land(spark.createDataFrame(rows, UPLOADS).repartition(3), folder)
+    monkeypatch.setattr(landing, "READ_BYTES", 16)
+    monkeypatch.setattr(landing, "PATHS", 4)
+    read = landing.contents(meta)
+    assert "binaryFile" not in read._jdf.queryExecution().toString()
+    assert sorted((r.fileName, r.content) for r in read.collect()) == sorted((f"{i}.pdf", b"%d" % i * (i % 5) or None) for i in range(60))
+    there = landing.stored_bytes(spark, folder)
+    assert "binaryFile" not in there._jdf.queryExecution().toString()
+    assert sorted(r[0] for r in there.collect()) == sorted(r.filePath for r in meta.where("filePath is not null").collect())
+    gone = meta.where("fileName = '7.pdf'").first().filePath
+    os.rename(gone, gone + "x")
+    assert [r.content for r in landing.contents(meta).where("fileName = '7.pdf'").collect()] == [None]
+    # the folder written in another way is the same folder
+    assert landing.sweep(spark, f"{tmp_path}//up/") == 1 and not os.path.exists(gone + "x")
+    assert landing.stored_bytes(spark, folder).count() == 47 and landing.stored_bytes(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_a_failing_task_leaves_no_half_row(spark, tmp_path):
     folder = str(tmp_path / "up")
     landing.land(spark.createDataFrame([("c", "d", "X", "first.pdf", bytearray(b"first"))], UPLOADS), folder)

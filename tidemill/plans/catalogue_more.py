@@ -775,5 +775,4 @@ def landed_uploads(t):
     up = t("part").select(F.lit("c").alias("companyId"), k.cast("string").alias("declarationId"), F.lit("INVOICE").alias("type"), F.when(k % 5 > 0, "../a/b.pdf").alias("fileName"), F.when(k % 7 > 0, F.encode("p_name", "UTF-8")).alias("content"))
     folder = f"{ordered.shared_folder(up.sparkSession)}/uploads-{uuid.uuid4().hex}".removeprefix("file:").replace("///", "/")
     meta = landing.land(scans.spread(up), folder)
-    there = up.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/bytes").select(F.regexp_replace("path", "^file:/*", "/").alias("filePath"), F.decode("content", "UTF-8").alias("content"))
-    return meta.join(there, "filePath", "left").select(F.col("declarationId").alias("declaration"), F.col("fileName").alias("name"), "length", F.col("extractionStatus").alias("status"), "content")
+    return landing.contents(meta).select(F.col("declarationId").alias("declaration"), F.col("fileName").alias("name"), "length", F.col("extractionStatus").alias("status"), F.decode("content", "UTF-8").alias("content"))

@@ -14,9 +14,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Upload cap of documents in MB.
 CAP_MB = 25
+#: Bytes of contents after which a batch of them goes on, and paths of a batch.
+READ_BYTES, PATHS = 32 << 20, 10_000
 
 _META = "companyId string, declarationId string, type string, fileName string, filePath string, length long, extractionStatus string, parseErrors array<string>, batch string"
 
@@ -68,10 +71,61 @@ def stored_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_META).parquet(f"{folder}/meta")
 
 
+def contents(uploads: DataFrame) -> DataFrame:
+    """uploads with content, the bytes that lie at their filePath; null without a path, or where nothing lies.
+
+    The tasks that hold the rows open the files, so that no folder is listed, and a batch of bytes goes on at READ_BYTES.
+    """
+
+    def content(path: str | None) -> bytes | None:
+        if path is None or not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            return f.read()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            held, size = [], 0
+            for i, path in enumerate(rows["filePath"].to_pylist(), 1):
+                held.append(content(path))
+                size += len(held[-1] or b"")
+                if size >= READ_BYTES or i == rows.num_rows:
+                    part = rows.slice(i - len(held), len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], [*part.schema.names, "content"])
+                    held, size = [], 0
+
+    return uploads.mapInArrow(read, StructType([*uploads.schema.fields, StructField("content", BinaryType())]))
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """filePath of all files below `folder`/bytes/company/declaration. Tasks list one level after another, and none holds a whole level."""
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        for b in batches:
+            for path in b["filePath"].to_pylist():
+                if not os.path.isdir(path):
+                    continue
+                with os.scandir(path) as entries:
+                    for e in entries:
+                        names.append(e.path)
+                        if len(names) == PATHS:
+                            yield pa.RecordBatch.from_arrays([pa.array(names)], ["filePath"])
+                            names = []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["filePath"])
+
+    level = spark.range(1, numPartitions=1).select(F.lit(os.path.join(folder, "bytes")).alias("filePath"))
+    for _ in range(3):
+        # the names of a level are dealt out over the tasks that list the next
+        level = level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(below, "filePath string")
+    return level
+
+
 def sweep(spark: SparkSession, folder: str) -> int:
     """Remove bytes that no metadata row names, as failed tasks leave them; how many there were. Not while uploads land."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/bytes").select(F.regexp_replace("path", "^file:/*", "/").alias("filePath"))
-    lost = there.join(stored_uploads(spark, folder).select("filePath"), "filePath", "left_anti")
+    # by company, declaration and name, which hold whatever way the folder is written
+    own = F.substring_index("filePath", "/", -3).alias("own")
+    lost = stored_bytes(spark, folder).select("filePath", own).join(stored_uploads(spark, folder).select(own), "own", "left_anti").select("filePath")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
