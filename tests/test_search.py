@@ -24,6 +24,18 @@ def test_searches_find_what_a_scan_finds(spark):
     assert search.search_all(df.limit(0), "id", ["t"], asked).count() == 0 and search.search_all(df, "id", ["t"], asked.limit(0)).count() == 0
 
 
+def test_searches_broadcast_nothing_but_measured_terms(spark, tmp_path, monkeypatch):
+    """Grams exploded from a small file look as small as it; only terms that were counted go through the driver."""
+    spark.range(50).select("id", F.concat(F.lit("part "), "id").alias("t")).write.parquet(str(tmp_path / "rows"))
+    rows, terms = spark.read.parquet(str(tmp_path / "rows")), spark.createDataFrame([("art 4",), ("9",)], "term string")
+    wanted = [("9", i) for i in range(50) if "9" in str(i)] + [("art 4", i) for i in (4, *range(40, 50))]
+    for chars, sent in ((search.BROADCAST_CHARS, 1), (0, 0)):
+        monkeypatch.setattr(search, "BROADCAST_CHARS", chars)
+        found = search.search_all(rows, "id", ["t"], terms)
+        assert found._jdf.queryExecution().sparkPlan().toString().count("Broadcast") == sent
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_rules_at_once_as_one_by_one(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["AB1", "AB2", "B", None, ""]), r.choice(["x", "xy", "xyz"])) for i in range(120)]

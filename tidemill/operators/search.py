@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .joins import by_merge
 
 #: Letters of a gram; terms of fewer letters are looked up as they are.
 GRAM = 3
+#: Characters of all terms up to which terms with their grams are broadcast (a term counts TERM_COST more); beyond it the index is shuffled.
+BROADCAST_CHARS, TERM_COST = 4 << 20, 100
 
 
 def folded(c: Column) -> Column:
@@ -31,15 +34,19 @@ def search_all(rows: DataFrame, ident: str, columns: list[str], terms: DataFrame
 
     Terms (a table of term) are trimmed and in lower case; blank ones find nothing, repeated ones count once. The rarest gram of a
     term gives its candidates, which are then verified, so that only rows with that gram are looked at. A term of fewer than
-    GRAM letters is a gram itself. `index` is what postings gave, if it is at hand.
+    GRAM letters is a gram itself. `index` is what postings gave, if it is at hand. Terms are measured before they are broadcast; the index
+    and the rows, whose size Spark can't tell before they are exploded, never are.
     """
     index = postings(rows, ident, columns) if index is None else index
     wanted = terms.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
     parts = wanted.select("term", F.explode(F.when(F.length("term") >= GRAM, grams(F.col("term"), GRAM)).otherwise(F.array("term"))).alias("gram"))
-    # only the grams that are asked for are counted
-    sizes = index.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    found = parts.join(sizes, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    near = found.join(index, "gram").join(rows.select(ident, *(folded(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns))), ident)
+    few = (wanted.agg(F.sum(F.length("term") + TERM_COST)).first()[0] or 0) <= BROADCAST_CHARS
+    sent = F.broadcast if few else by_merge
+    # grams are counted in each task first, so that few rows move
+    sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
+    found = parts.join(by_merge(sizes), "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = index.join(sent(found), "gram").select("term", ident)
+    near = near.join(by_merge(rows.select(ident, *(folded(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)))), ident)
     hit = F.lit(False)
     for i in range(len(columns)):
         hit = hit | F.contains(f"_{i}", "term")

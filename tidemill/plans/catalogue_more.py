@@ -658,7 +658,7 @@ def deep_page(t):
 SELECT term, p_partkey FROM w JOIN part ON contains(lower(p_name), term) OR contains(lower(p_type), term) OR contains(lower(p_brand), term) WHERE term <> ''""")
 def search_terms(t):
     """All words of part types, two and one letters, and a term that nothing has, in three columns at once."""
-    p = t("part")
+    p = scans.spread(t("part"))
     terms = p.select(F.explode(F.split("p_type", " ")).alias("term")).union(p.select(F.substring("p_name", 1, 2))).union(p.select(F.right("p_brand", F.lit(1)))).distinct()
     terms = terms.union(p.limit(1).select(F.lit("no such text"))).union(p.limit(1).select(F.lit("  ")))
     return search.search_all(p, "p_partkey", ["p_name", "p_type", "p_brand"], terms)
