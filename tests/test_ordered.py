@@ -19,6 +19,21 @@ def test_next_wanted_in_blocks(spark):
     assert ordered.next_wanted(df.limit(0), ["g"], "at", F.col("w"), "nxt").count() == 0
 
 
+def test_next_wanted_takes_time_in_proportion(spark):
+    """No frame that shrinks from row to row, which Spark makes anew for each, and blocks found by halves; a row without a place has no next."""
+    df = spark.createDataFrame([(i, "g", i // 3, i % 50 == 0) for i in range(3000)] + [(-1, "g", None, False)], "id int, g string, at long, w boolean")
+    out = ordered.next_wanted(df, ["g"], "at", F.col("w"), "nxt", rows=10)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "unboundedfollowing" not in plan and "filter(_cuts" not in plan
+    got = {r.id: r.nxt for r in out.collect()}
+    places = [i // 3 for i in range(3000) if i % 50 == 0]
+    assert got == {i: next((p for p in places if p > i // 3), None) for i in range(3000)} | {-1: None}
+    cuts = [*range(0, 2 * (ordered.MOST_BLOCKS - 1), 2)]
+    asked = [-1, 0, 1, 2, 999, 1000, cuts[-1] - 1, cuts[-1], cuts[-1] + 1, None]
+    rows = spark.createDataFrame([(cuts, v) for v in asked] + [([], 1), (None, 1)], "cuts array<int>, v int")
+    assert [r[0] for r in rows.select(ordered.places_upto(F.col("cuts"), F.col("v"))).collect()] == [sum(c <= v for c in cuts) if v is not None else 0 for v in asked] + [0, 0]
+
+
 def test_halo_of_neighbours(spark):
     r = random.Random(2)
     rows = [(i, "g", r.choice([r.randrange(400), 7]), r.randrange(100)) for i in range(500)] + [(600, "h", 1, 5), (601, "h", 1, 6)]

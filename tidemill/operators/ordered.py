@@ -39,22 +39,28 @@ def in_blocks(df: DataFrame, group: list[str], at: str, rows: int | None = None)
     wanted = F.least(F.ceil(F.col("_n") / rows), F.lit(MOST_BLOCKS)).cast("int")
     cuts = cuts.select(*group, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda i: F.get("_q", F.least(F.floor(i * MOST_BLOCKS / wanted).cast("int"), F.lit(MOST_BLOCKS - 1)) - 1))).alias("_cuts"))
     cuts = F.broadcast(cuts) if n_hot <= BROADCAST_GROUPS else cuts
-    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(at))), F.lit(0))
-    return df.join(cuts, group, "left").withColumn("_block", F.greatest(block, F.lit(0))).drop("_cuts")
+    return df.join(cuts, group, "left").withColumn("_block", places_upto(F.col("_cuts"), F.col(at))).drop("_cuts")
+
+
+def places_upto(cuts: Column, value: Column) -> Column:
+    """How many of ascending cuts, MOST_BLOCKS at most, are not above a value: by halves, ten looks for a thousand. 0 for null."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(MOST_BLOCKS.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= value, n + step).otherwise(n))
 
 
 def next_wanted(df: DataFrame, group: list[str], at: str, wanted: Column, name: str, rows: int | None = None) -> DataFrame:
-    """df with `name`: the least `at` above a row's own among the group's wanted rows, null without one.
+    """df with `name`: the least `at` above a row's own among the group's wanted rows, null without one or without a place.
 
     Inside a block a window finds it; what no row of the block has is carried back from the first wanted place of the blocks behind.
+    Windows run from the end back, as Spark adds to a frame that grows, and makes one anew for every row that shrinks.
     """
     parts = in_blocks(df, group, at, rows).withColumn("_wanted", F.when(wanted, F.col(at)))
     firsts = parts.groupBy(*group, "_block").agg(F.min("_wanted").alias("_first"))
-    behind = Window.partitionBy(*group).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy(*group).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = firsts.withColumn("_carried", F.min("_first").over(behind)).where("_carried is not null").drop("_first")
-    here = Window.partitionBy(*group, "_block").orderBy(at).rangeBetween(1, Window.unboundedFollowing)
+    here = Window.partitionBy(*group, "_block").orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
     out = parts.withColumn(name, F.min("_wanted").over(here)).join(carried, [*group, "_block"], "left")
-    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", "_wanted", "_block")
+    return out.withColumn(name, F.when(F.col(at).isNotNull(), F.coalesce(name, "_carried"))).drop("_carried", "_wanted", "_block")
 
 
 def around_at(df: DataFrame, group: list[str], at: str, tie: str, measures: dict[str, Column], reach: int = 3, rows: int | None = None) -> DataFrame:
