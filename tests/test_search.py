@@ -1,6 +1,7 @@
 """Gram and rule indexes, navigation trees and small view models against plain Python."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,25 @@ def test_rules_at_once_as_one_by_one(spark):
     assert got == sorted(map(tuple, every.select("id", "rule_id").collect()))
 
 
+def test_rules_meet_classes_of_rows(spark, tmp_path, monkeypatch):
+    """Rows that are equal in what is asked meet rules once; no exploded side is broadcast; an id that is there twice keeps its rows apart."""
+    monkeypatch.setattr(search, "IDS", 2)
+    rows = [(i // 2, ["AB1", "AB2", "C", None][i % 4], f"only {i}") for i in range(40)] + [(None, "C", "x")]
+    c = lambda field, operator, value, on=True: (field, operator, value, on)
+    rules = [(k, [c("f", "starts_with", "AB")]) for k in range(7)] + [(8, [c("f", "equals", "C"), c("none", "equals", "")]), (9, [c("g", "equals", "x", False)]), (10, []), (11, [c("none", "equals", "y")]), (12, None), (None, [c("f", "equals", "")]), (13, [c("f", None, "AB1")])]
+    spark.createDataFrame(rows, "id int, f string, g string").write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame(rules, "rule_id int, conditions array<struct<field:string,operator:string,value:string,enabled:boolean>>").write.parquet(str(tmp_path / "rules"))
+    df, ruled = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "rules"))
+    got = search.match_rules(df, "id", ["f", "g"], ruled)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    # the lengths of prefixes, a row a field, are all that is sent
+    assert plan.count("Broadcast") == len(re.findall(r"BroadcastHashJoin \[at#\d+\], \[at#\d+\]", plan)) > 0
+    every = df.crossJoin(ruled).where(filters.rule_matches(F.col("conditions"), {"f": F.col("f"), "g": F.col("g")}))
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.select("id", "rule_id").collect()))
+    met = [r.rule_id for r in got.where("id = 0").collect()]
+    assert sorted(met, key=str) == sorted([*range(7)] * 2 + [9, 10] * 2 + [13], key=str)
+
+
 NODES = "node_id string, parent_id string, capabilities array<string>, required_mode string, super_admin_only boolean"
 
 

@@ -11,6 +11,8 @@ from .joins import by_merge
 GRAM = 3
 #: Characters of all terms up to which terms with their grams are broadcast (a term counts TERM_COST more); beyond it the index is shuffled.
 BROADCAST_CHARS, TERM_COST = 4 << 20, 100
+#: Rules of a list, about.
+IDS = 1000
 
 
 def folded(c: Column) -> Column:
@@ -57,27 +59,40 @@ def match_rules(rows: DataFrame, ident: str, fields: list[str], rules: DataFrame
     """ident, rule_id of every row that fulfils all enabled conditions of a rule.
 
     rules: rule_id and conditions, an array of (field, operator, value, enabled); the operators are equals and starts_with, as in
-    filters.rule_matches. A null field is empty; a condition on a field that rows lack asks an empty text. Each rule is looked up by
-    one condition, the one that the fewest rows fulfil, through its field and value (for starts_with: field, length and prefix); its
-    other conditions are checked on the rows found. So a row meets the rules it may fulfil, and not all of them. Rules without
-    an enabled condition, or whose conditions all hold of an empty text, match every row that lacks more; they are joined as such.
+    filters.rule_matches. A null field is empty; a condition on a field that rows lack asks an empty text. Rows that are equal in
+    all that rules ask for (a field that is only asked for its beginning: up to the longest) are one class, and so are rules with
+    equal conditions; classes meet, and their pairs are dealt to rows and rules at the end, as the result itself. Each class of rules is
+    looked up by one condition, the one that the fewest classes of rows fulfil, through its field and value (for starts_with: field,
+    length and prefix); its other conditions are checked on what is found. Rules without an enabled condition, or whose conditions all
+    hold of an empty text, match every row that lacks more; they are looked up by a key that every class holds.
     """
-    on = F.transform(F.filter("conditions", lambda c: c["enabled"]), lambda c: F.struct(c["field"].alias("field"), (c["operator"] == "equals").alias("equal"), F.coalesce(c["value"], F.lit("")).alias("value")))
-    rules = rules.select("rule_id", on.alias("asked"))
-    cells = rows.select(ident, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields))).alias("cell")).select(ident, "cell.*")
-    one = rules.select("rule_id", F.explode("asked").alias("c")).select("rule_id", "c.*")
-    # the lengths of prefixes that rules ask for: as many as there are different ones
-    lengths = one.where("not equal").groupBy("field").agg(F.collect_set(F.length("value")).alias("lengths"))
-    starts = cells.join(lengths, "field").select(ident, "field", F.lit(False).alias("equal"), F.explode(F.filter("lengths", lambda n: n <= F.length("value"))).alias("n"), "value").select(ident, "field", "equal", F.substring(F.col("value"), F.lit(1), F.col("n")).alias("value"))
-    held = cells.select(ident, "field", F.lit(True).alias("equal"), "value").unionByName(starts)
-    key = ["field", "equal", "value"]
-    sizes = held.join(one.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
-    first = one.where(F.col("field").isin(*fields)).join(sizes, key, "left").groupBy("rule_id").agg(F.min_by(F.struct(*key), F.struct(F.coalesce("n", F.lit(0)), *key)).alias("k")).select("rule_id", "k.*")
-    lookup = F.create_map(*(x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))))
-    table = rows.select(ident, lookup.alias("values"))
-    value = lambda c: F.coalesce(F.try_element_at("values", c["field"]), F.lit(""))
+    at = lambda c: F.array_position(F.array(*map(F.lit, fields)), c["field"])
+    on = F.transform(F.filter("conditions", lambda c: c["enabled"]), lambda c: F.struct(F.coalesce(at(c), F.lit(0)).cast("int").alias("at"), F.coalesce(c["operator"] == "equals", F.lit(False)).alias("equal"), F.coalesce(c["value"], F.lit("")).alias("value")))
+    ruled = rules.select("rule_id", F.array_sort(F.array_distinct(on)).alias("asked"))
+    kinds = ruled.select("asked").distinct()
+    one = kinds.select("asked", F.explode("asked").alias("c")).select("asked", "c.*").where("at > 0")
+    # one row a field at most, here and in lengths: the lengths of prefixes that rules ask for
+    uses = {r.at: r for r in one.groupBy("at").agg(F.bool_or("equal").alias("equal"), F.max(F.length("value")).alias("most")).collect()}
+    lengths = one.where("not equal").groupBy("at").agg(F.collect_set(F.length("value")).alias("lengths"))
+
+    def told(i: int, f: str) -> Column:
+        text = F.coalesce(F.col(f).cast("string"), F.lit(""))
+        return F.lit("") if i not in uses else text if uses[i].equal else F.substring(text, 1, uses[i].most)
+
+    classed = rows.select(ident, F.array(*(told(i, f) for i, f in enumerate(fields, 1))).alias("_values"))
+    classes = classed.select("_values").distinct()
+    cells = classes.select("_values", F.posexplode("_values").alias("at", "value")).withColumn("at", F.col("at") + 1).where(F.col("at").isin(*uses))
+    starts = cells.join(F.broadcast(lengths), "at").select("_values", "at", F.lit(False).alias("equal"), F.explode(F.filter("lengths", lambda n: n <= F.length("value"))).alias("n"), "value").withColumn("value", F.substring(F.col("value"), F.lit(1), F.col("n"))).drop("n")
+    every = classes.select("_values", F.lit(0).alias("at"), F.lit(True).alias("equal"), F.lit("").alias("value"))
+    held = cells.withColumn("equal", F.lit(True)).unionByName(starts).unionByName(every)
+    key = ["at", "equal", "value"]
+    sizes = held.join(by_merge(one.select(*key).distinct()), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
+    first = one.join(by_merge(sizes), key, "left").groupBy("asked").agg(F.min_by(F.struct(*key), F.struct(F.coalesce("n", F.lit(0)), *key)).alias("k")).select("asked", "k.*")
+    loose = kinds.where(~F.exists("asked", lambda c: c["at"] > 0)).select("asked", F.lit(0).alias("at"), F.lit(True).alias("equal"), F.lit("").alias("value"))
+    value = lambda c: F.coalesce(F.get("_values", c["at"] - 1), F.lit(""))
     holds = F.forall("asked", lambda c: F.when(c["equal"], value(c) == c["value"]).otherwise(F.startswith(value(c), c["value"])))
-    met = first.join(held, key).select("rule_id", ident).join(rules, "rule_id").join(table, ident)
-    # rules that ask nothing of the fields that rows have: each of them holds of all rows or of none
-    loose = rules.join(first, "rule_id", "left_anti").where(F.forall("asked", lambda c: c["value"] == ""))
-    return met.where(holds).select(ident, "rule_id").unionByName(rows.select(ident).join(loose.select("rule_id"), F.lit(True)))
+    pairs = first.unionByName(loose).join(by_merge(held), key).where(holds).select("asked", "_values")
+    # the rules of a class in lists of some IDS, so that a row meets lists and not one rule after another
+    lists = ruled.join(by_merge(ruled.groupBy("asked").agg(F.count("*").alias("n"))), "asked").groupBy("asked", F.pmod(F.xxhash64("rule_id"), F.ceil(F.col("n") / IDS)).alias("part")).agg(F.collect_list(F.struct("rule_id")).alias("ids"))
+    met = pairs.join(by_merge(lists), "asked").select("_values", "ids")
+    return classed.join(by_merge(met), "_values").select(ident, F.explode("ids").alias("r")).select(ident, "r.rule_id")
