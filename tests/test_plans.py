@@ -91,6 +91,15 @@ def test_items_broadcast_no_words(spark, tmp_path):
     assert sorted((int(i.doc_id), i.gtip, i.quantity, i.product_code_full) for i in items.collect()) == [(k, "731815000012", "2", "AB.CE.101") for k in range(20)]
 
 
+def test_money_texts_are_read_once_for_their_pairs(spark):
+    """A line's texts are searched in one place of the plan, and the first ordered pair is as a plain search finds it."""
+    lines = [(["1,00 EUR", "10,50", "7,77", "= 21,00"], "2"), (["2,00 2,00", None, "4,00"], "2"), (["1,OO", "3,00\n1,00"], "3"), (["5,00"], "1"), (["1,00", "1,00"], "1"), (["1,00", "1,01"], "1"), (["1.000,50", "2.001,00"], "2"), (["1,00", "2,00"], "0"), (["1,00", "2,00"], None), ([], "2"), (["x"], "y")]
+    df = spark.createDataFrame([([(t,) for t in ts], q) for ts, q in lines], "line array<struct<text:string>>, q string")
+    found = df.select(extract_spatial.price_and_amount(F.col("line"), F.col("q")).alias("pa"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.pa and tuple(r.pa) for r in found.collect()] == [("10,50", "21,00"), ("2,00", "4,00"), ("1,00", "3,00"), None, None, ("1,00", "1,01"), ("1.000,50", "2.001,00"), None, None, None, None]
+
+
 def test_resolution(spark):
     rows = [("d", "E_INVOICE_XML", 0, "header.invoiceNo", "X2"), ("d", "INVOICE", 1, "header.invoiceNo", ""), ("d", "INVOICE", 2, "header.invoiceNo", "A1"), ("d", "PACKING_LIST", 3, "header.invoiceNo", "P"), ("d", "INVOICE", 1, "parties.buyer.address", "Fő utca Hungary"), ("d", "INVOICE", 1, "parties.seller.country", "Germany")]
     values = spark.createDataFrame(rows, "id string, source string, pos int, path string, value string")

@@ -139,8 +139,9 @@ def price_amount_pair(t):
     n = F.col("l_linenumber")
     w = lambda s: F.struct(s.cast("string").alias("text"))
     line = F.array(w(F.lit("1,00 EUR")), w(F.concat(n + 10, F.lit(",50"))), w(F.lit("7,77")), w(F.concat(F.lit("= "), F.replace(F.format_number((n + 1) * (n + 10.5), 2), F.lit("."), F.lit(",")))))
-    pa = extract_spatial.price_and_amount(line, (n + 1).cast("string"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", pa["price"].alias("price"), pa["amount"].alias("amount"))
+    # the pair as a column, so that it is looked for once and not for each of its parts
+    found = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", extract_spatial.price_and_amount(line, (n + 1).cast("string")).alias("pa"))
+    return found.select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("pa.price").alias("price"), F.col("pa.amount").alias("amount"))
 
 
 @query("""SELECT p_partkey, (p_size + 1)::VARCHAR AS quantity, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE 'ADET' END AS unit, '12,50' AS unit_price FROM part WHERE p_size < 9""")

@@ -148,14 +148,20 @@ def joined_in(u: Column) -> Column:
 
 
 def price_and_amount(line: Column, quantity: Column) -> Column:
-    return pair_of_money(F.flatten(F.transform(line, lambda w: money_values(repair_digits(w["text"])))), quantity)
+    # no money text goes over the end of a word, so the words are read as one text
+    return pair_of_money(money_values(repair_digits(F.array_join(line["text"].cast("array<string>"), "\n"))), quantity)
 
 
 def pair_of_money(money: Column, quantity: Column) -> Column:
-    """struct(price, amount): the first ordered pair of money texts, unlike each other, with quantity times price near the amount."""
-    q = comma_decimal(quantity)
-    pair = lambda p: F.transform(F.filter(money, lambda a: (a != p) & (F.abs(q * comma_decimal(p) - comma_decimal(a)) < 0.05)), lambda a: F.struct(p.alias("price"), a.alias("amount")))
-    return F.when(q != 0, F.get(F.flatten(F.transform(money, pair)), F.lit(0)))
+    """struct(price, amount): the first ordered pair of money texts, unlike each other, with quantity times price near the amount.
+
+    Quantity and texts are read as numbers once, before they meet in pairs.
+    """
+    read = F.transform(money, lambda m: F.struct(m.alias("text"), comma_decimal(m).alias("n")))
+    fits = lambda q, p: lambda a: (F.abs(q * p["n"] - a["n"]) < 0.05) & (a["text"] != p["text"])
+    pair = lambda x: lambda p: F.transform(F.filter(x["read"], fits(x["q"], p)), lambda a: F.struct(p["text"].alias("price"), a["text"].alias("amount")))
+    known = lambda x: F.when(x["q"] != 0, F.get(F.flatten(F.transform(x["read"], pair(x))), F.lit(0)))
+    return F.get(F.transform(F.array(F.struct(comma_decimal(quantity).alias("q"), read.alias("read"))), known), F.lit(0))
 
 
 def best_amount(money: Column, quantity: Column, price: Column) -> Column:
